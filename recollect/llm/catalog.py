@@ -47,12 +47,20 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_roundtrip(table(spark, sf_dir, "pages"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score_quality, train
+
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_sentencepiece": op2_sentencepiece,
     "op5_secret_scan": op5_secret_scan,
     "op7_packing": op7_packing,
     "op8_warc": op8_warc,
+    "op10_quality": op10_quality,
 }
 
 ORACLES: dict[str, str] = {
