@@ -1,0 +1,355 @@
+"""Operators against brute force, libraries and held-out labels."""
+
+import itertools
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from recollect.llm import jaccard, packing, pii, quality, secret_scan, sentencepiece_codec, spans, suffix_dedup, topk, warc
+from recollect.llm.catalog import QUERIES, table, tokenizer_path
+
+
+def texts_of(spark, sf):
+    return {r.doc_id: r.text or "" for r in table(spark, sf, "documents").collect()}
+
+
+def test_sentencepiece_as_the_library():
+    import sentencepiece
+
+    data = open(tokenizer_path("piece_bpe_32k.model"), "rb").read()
+    codec, library = sentencepiece_codec.Codec(data), sentencepiece.SentencePieceProcessor(model_proto=data)
+    draw = random.Random(3)
+    parts = ["a", "b", "the", "ing", " ", " ", "  ", "\n", "\t", "▁", "\U0001f600", "é", "ß", "漢", "́", "1", ".", ",", "<s>", "\x00", "aaaa", "\r", "tion"]
+    for _ in range(3000):
+        text = "".join(draw.choice(parts) for _ in range(draw.randint(0, 30)))
+        ids = codec.encode(text)
+        assert ids == library.encode(text), text
+        assert codec.decode(ids) == library.decode(ids), text
+    for _ in range(1000):
+        ids = [draw.randrange(3, 32000) if draw.random() < 0.5 else draw.randrange(3, 259) for _ in range(draw.randint(0, 9))]
+        assert codec.decode(ids) == library.decode(ids)
+
+
+def test_sentencepiece_on_documents(spark, sf):
+    import hashlib
+
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
+    texts = texts_of(spark, sf)
+    for r in QUERIES["op2_sentencepiece"](spark, sf).collect():
+        ids = library.encode(texts[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(library.decode(ids).encode()).hexdigest()
+
+
+def brute_removed(texts: dict[int, bytes]) -> dict[int, np.ndarray]:
+    seen, out = set(), {}
+    for doc in sorted(texts):
+        t = texts[doc]
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - 99):
+            s = t[i : i + 100]
+            if s in seen:
+                gone[i : i + 100] = True
+            else:
+                seen.add(s)
+        out[doc] = gone
+    return out
+
+
+def test_suffixes_against_brute_force(spark):
+    draw = random.Random(8)
+    for alphabet in ("ab", "abcdefgh \x00é"):
+        pool = ["".join(draw.choice(alphabet) for _ in range(draw.choice([50, 99, 100, 101, 130, 300]))) for _ in range(5)]
+        texts = {}
+        for doc in range(40):
+            parts = [draw.choice(pool) if draw.random() < 0.6 else "".join(draw.choice(alphabet) for _ in range(draw.randint(0, 120))) for _ in range(draw.randint(0, 6))]
+            texts[doc] = "".join(parts)[: draw.randint(0, 900)] + draw.choice(["", "", "Der " * 40, "a" * 130])
+        want = brute_removed({d: t.encode() for d, t in texts.items()})
+        rows = spark.createDataFrame([(d, t) for d, t in texts.items()], "doc_id long, text string").repartition(3)
+        for r in suffix_dedup.suffix_dedup(rows, with_text=True).collect():
+            data, gone = texts[r.doc_id].encode(), want[r.doc_id]
+            assert bytes(r.kept) == bytes(np.frombuffer(data, np.uint8)[~gone])
+            assert (r.n_bytes, r.n_removed) == (len(data), gone.sum())
+            assert r.n_spans == (np.diff(np.concatenate(([0], gone.view(np.int8)))) == 1).sum()
+
+
+def test_loser_tree_order_and_prefixes():
+    draw = random.Random(2)
+    for k in (1, 2, 3, 7):
+        runs = [sorted(bytes(draw.choice(b"ab") for _ in range(draw.randint(0, 12))) for _ in range(draw.randint(0, 20))) for _ in range(k)]
+        common = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))  # noqa: E731, B905
+        lcps = [[0] + [common(a, b) for a, b in itertools.pairwise(r)] if r else [] for r in runs]
+        got = list(suffix_dedup.merge(runs, lcps))
+        out = [runs[r][i] for r, i, _ in got]
+        assert out == sorted(itertools.chain(*runs))
+        assert [h for _, _, h in got[1:]] == [common(a, b) for a, b in itertools.pairwise(out)]
+
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def plain_base(text):
+    """The contract's patterns as they stand."""
+    digits = lambda s: [c for c in s if c in "0123456789"]
+    out = [("email", *m.span()) for m in EMAIL.finditer(text)]
+    out += [("ip", *m.span()) for m in IP.finditer(text) if all(int(p) <= 255 for p in m.group().split("."))]
+    out += [("card", *m.span()) for m in CARD.finditer(text) if 12 <= len(digits(m.group())) <= 19 and pii.luhn("".join(digits(m.group())))]
+    out += [("phone", *m.span()) for m in PHONE.finditer(text) if 9 <= len(digits(m.group())) <= 15]
+    return spans.in_order(out, pii.KINDS)
+
+
+def test_personal_patterns():
+    draw = random.Random(4)
+    parts = ["a", ".", "@", "-", "+", "1", "22", "255", "256", "4111111111111111", " ", "(", ")", "x.y", "é", "%", "_", "a@b.co", "+1 (415) 555-0100", "10.1.2.3", "\n", "00001"]
+    for _ in range(20000):
+        text = "".join(draw.choice(parts) for _ in range(draw.randint(0, 14)))
+        assert spans.in_order(pii.base_spans(text), pii.KINDS) == plain_base(text), text
+
+
+def test_tagger_gradients():
+    tagger = pii.Tagger()
+    samples = pii.labelled_sentences(3, 5)
+    x, mask = pii.batch_of([pii.codes(t) for t, _ in samples])
+    tags, _ = pii.batch_of([pii.tag_row(t, s) for t, s in samples])
+    for k in tagger.p:
+        tagger.p[k] = tagger.p[k].astype(np.float64)
+    _, grads = tagger.gradients(x, mask, tags)
+    draw = np.random.default_rng(0)
+    for name in ("T", "O", "Hf", "Xb", "E", "cb"):
+        p = tagger.p[name]
+        at = tuple(draw.integers(0, s) for s in p.shape)
+        if name == "E":
+            at = (int(x[3, 0]), at[1])
+        if name == "T":
+            at = (0, 0)
+        kept, step = p[at], 1e-4
+        p[at] = kept + step
+        up = tagger.gradients(x, mask, tags)[0]
+        p[at] = kept - step
+        down = tagger.gradients(x, mask, tags)[0]
+        p[at] = kept
+        assert abs((up - down) / (2 * step) - grads[name][at]) < 2e-2 * max(1.0, abs(grads[name][at])), name
+
+
+def test_tagger_adds_spans_and_leaves_prose():
+    tagger = pii.trained()
+    samples = pii.labelled_sentences(300, 77)
+    found = tagger.decode([pii.codes(t) for t, _ in samples])
+    right = sum(len(set(s) & {(k, a, b) for a, b, _, k in own}) for (_, s), own in zip(samples, found, strict=True))
+    assert right / sum(len(s) for _, s in samples) > 0.85 and right / sum(map(len, found)) > 0.85
+    text = "Please call (415) 555-1234 or write to joe[@]mail.example.com before noon, said the other one."
+    base, every = pii.find_personal([text], tagger)[0]
+    assert not base and {(k, text[a:b]) for k, a, b in every} >= {("phone", "(415) 555-1234")}
+    clean = "In 2024 the price rose 3,5 % to $12.40 on 2024-05-06 at 10:30:00, version 1.2.3."
+    assert pii.find_personal([clean], tagger)[0] == ([], [])
+
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
+
+
+def test_secret_patterns():
+    draw = random.Random(6)
+    parts = ["password", "PassWd", "token", "api_key", "APIKEY", "=", ":", " ", '"', "'", "abc", "123456", "AKIA", "ABCDEFGHIJ123456", "0123456789abcdef", "é", "\n", "."]
+    for _ in range(20000):
+        text = "".join(draw.choice(parts) for _ in range(draw.randint(0, 14)))
+        want = [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m.group(2)) >= 6]
+        want += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m.group()) >= 20]
+        want += [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", text) if len(m.group()) >= 24]
+        assert spans.in_order(secret_scan.base_spans(text), secret_scan.KINDS) == spans.in_order(want, secret_scan.KINDS), text
+
+
+def test_randomness_on_held_out_samples():
+    judge = secret_scan.model()
+    held = secret_scan.labelled_samples(1500, 99)
+    assert sum(judge.is_random(t) for t, y in held if y) > 0.98 * 1500
+    assert sum(judge.is_random(t) for t, y in held if not y) < 0.005 * 1500
+
+
+def test_top_k_against_brute_force(spark):
+    draw = np.random.default_rng(1)
+    m = draw.standard_normal((3000, 16)) * draw.gamma(2, size=(3000, 1))
+    m[100:120] = m[100]
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>")
+    whole = np.floor(256 * m)
+    scores = (whole @ whole.T).astype(np.int64)
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.top_k(d).collect()}
+    for q in range(0, 3000, 50):
+        want = sorted((-int(scores[q, c]), c) for c in range(3000) if c != q)[:5]
+        assert [got[q, k + 1] for k in range(5)] == [(c, -s) for s, c in want]
+
+
+def test_pruning_is_exact_for_blocks():
+    draw = np.random.default_rng(5)
+    c = np.floor(draw.standard_normal((4000, 12)) * 300)
+    c = c[np.argsort(-(c * c).sum(1), kind="stable")]
+    q = np.floor(draw.standard_normal((20, 12)) * 300)
+    turn = np.linalg.eigh(c.T @ c)[1][:, ::-1].copy()
+    got = topk.best_in_block(np.arange(10_000, 10_020), q, np.full(20, -np.inf), np.arange(4000), c, turn, 5, 4)
+    for n in range(20):
+        want = sorted((-int(s), i) for i, s in enumerate(c @ q[n]))[:5]
+        assert sorted((-s, i) for w, i, s in got if w == 10_000 + n) == want
+
+
+def test_packing_as_the_library(spark, sf):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    tokenizer.encode_special_tokens = True
+    texts = texts_of(spark, sf)
+    pieces = {}
+    for r in packing.pack(table(spark, sf, "documents"), tokenizer_path("word_bpe_49k.json")).collect():
+        assert zlib.crc32(bytes(r.ids)) == r.ids_crc32 and r.offset + r.length <= packing.WINDOW
+        pieces.setdefault(r.doc_id, []).append((r.start, bytes(r.ids)))
+    for doc, text in texts.items():
+        ids = np.frombuffer(b"".join(x for _, x in sorted(pieces[doc])), "<u4").tolist()
+        assert ids == [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
+
+
+def test_word_ids_on_odd_text():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("word_bpe_49k.json")
+    words = packing.words_of(open(path, "rb").read())
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    draw = random.Random(2)
+    parts = ["'s", "'", "ll", "a", "É", "é", "́", " ", "\n", "\t", "1", "!?", "\U0001f600", "<|endoftext|>", "\x1c", "\x01", "Σ", "ΟΣ", "ß", "the"]
+    for _ in range(3000):
+        text = "".join(draw.choice(parts) for _ in range(draw.randint(0, 20)))
+        own = packing.stretches(text)
+        words.learn(set(own))
+        assert np.frombuffer(words.encode(own), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+def test_salvage():
+    payloads = [b"one", b"two " * 500, b"", b"x\r\n\r\nWARC/1.1\r\ny", b"last"]
+    records = [warc.record_bytes(i, f"http://h/{i}", p) for i, p in enumerate(payloads)]
+    for encode in (lambda r: r, warc.member):
+        parts = [encode(r) for r in records]
+        whole = warc.salvage(b"".join(parts))
+        assert [r.payload for r in whole.records] == payloads and not whole.gaps
+        for hurt in range(len(parts)):
+            bad = bytearray(parts[hurt])
+            bad[len(bad) // 2 if encode is warc.member else -6] ^= 0xFF  # plain records have checks for their blocks
+            data = b"".join([*parts[:hurt], bytes(bad), *parts[hurt + 1 :]])
+            found = warc.salvage(data)
+            begin = sum(map(len, parts[:hurt]))
+            assert [r.payload for r in found.records] == [p for i, p in enumerate(payloads) if i != hurt]
+            assert [(a, b) for a, b, _ in found.gaps] == [(begin, begin + len(bad))]
+        cut = warc.salvage(b"".join(parts)[:-7])
+        assert len(cut.records) == len(parts) - 1 and cut.gaps[0][1] == len(b"".join(parts)) - 7
+    mixed = warc.salvage(b"junk" + records[0] + warc.member(records[1]) + b"\x1f\x8b\x08rubbish" + records[4])
+    assert [r.payload for r in mixed.records] == [payloads[0], payloads[1], payloads[4]] and len(mixed.gaps) == 2
+    assert warc.salvage(b"").records == [] and warc.salvage(b"nothing here").gaps[0][:2] == (0, 12)
+
+
+def near_by_force(texts):
+    sets = {}
+    for d, t in texts.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", t.translate({c: c + 32 for c in range(65, 91)}))
+        sets[d] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(sets, 2):
+        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    return {d: (len(s), find(d)) for d, s in sets.items()}
+
+
+@pytest.mark.parametrize("column", [48, 2])
+def test_near_copies_against_brute_force(spark, column, monkeypatch):
+    monkeypatch.setattr(jaccard, "COLUMN", column)
+    draw = random.Random(column)
+    words = [f"w{i}" for i in range(60)]
+    bases = [[draw.choice(words) for _ in range(draw.choice([3, 6, 30, 60, 120]))] for _ in range(12)]
+    passage = [draw.choice(words) for _ in range(40)]
+    texts = {}
+    for d in range(160):
+        own = list(draw.choice(bases)) if draw.random() < 0.8 else [draw.choice(words) for _ in range(50)]
+        for _ in range(draw.choice([0, 0, 1, 2, 4])):
+            own[draw.randrange(len(own))] = draw.choice(words)
+        texts[d * 3 + 1] = draw.choice([" ", "\n", "  "]).join(own + (passage if draw.random() < 0.3 else []))
+    texts |= {1000: "", 1001: " ", 1002: "W1 w2", 1003: "w1\tW2"}
+    want = near_by_force(texts)
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(rows).collect()}
+    assert got == want
+
+
+def test_near_copies_with_frequent_shingles(spark, monkeypatch):
+    """The frequent columns, the salted way round: most columns count as frequent."""
+    monkeypatch.setattr(jaccard, "FREQUENT", 3)
+    monkeypatch.setattr(jaccard, "LOCAL", 1)
+    draw = random.Random(9)
+    words = [f"v{i}" for i in range(40)]
+    bases = [[draw.choice(words) for _ in range(40)] for _ in range(5)]
+    texts = {}
+    for d in range(120):
+        own = list(draw.choice(bases))
+        for _ in range(draw.choice([0, 1, 2, 3])):
+            own[draw.randrange(40)] = draw.choice(words)
+        texts[d] = " ".join(own)
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(2)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(rows).collect()}
+    assert got == near_by_force(texts)
+
+
+def test_quality_gradients_and_held_out_accuracy(spark, sf):
+    draw = np.random.default_rng(0)
+    model = quality.AttentionModel()
+    for k in model.p:
+        model.p[k] = model.p[k].astype(np.float64)
+    x, counts, labels = draw.random((9, quality.FEATURES)), np.array([2, 3, 4]), np.array([0.0, 1.0, 1.0])
+
+    def loss():
+        s = model.score(model.encode(x), counts)
+        return -np.mean(labels * np.log(s) + (1 - labels) * np.log(1 - s))
+
+    grads = model.gradients(x, counts, labels)
+    for name in ("W", "V", "U", "w", "c", "d", "b"):
+        p = model.p[name]
+        at = tuple(int(draw.integers(0, s)) for s in p.shape)
+        kept = p[at]
+        p[at] = kept + 1e-5
+        up = loss()
+        p[at] = kept - 1e-5
+        down = loss()
+        p[at] = kept
+        assert abs((up - down) / 2e-5 - grads[name][at]) < 1e-4, name
+    sf = sf.replace("sf0.001", "sf0.01")
+    labels = {r.doc_id: r.quality for r in table(spark, sf, "labels").collect()}
+    rows = QUERIES["op10_quality"](spark, sf).collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows)
+    judged = [(r.predicted, labels[r.doc_id]) for r in rows if r.held_out and r.doc_id in labels]
+    assert np.mean([p == y for p, y in judged]) > 0.93
+
+
+def test_pipeline_decisions(spark, sf):
+    import corpus_pipeline as c
+
+    docs = table(spark, sf, "documents")
+    before = docs
+    for name, function in c.STAGES[:-1]:
+        after = function(spark, before, sf)
+        assert after.columns == docs.columns
+        after = c.stage(after, f"test-{name}")
+        assert after.count() <= before.count() and after.select("doc_id").join(before.select("doc_id"), "doc_id", "left_anti").isEmpty()
+        before = after
+    texts = {r.doc_id: r.text for r in before.collect()}
+    assert len(texts) > 100 and not any(secret_scan.find_secrets(t)[0] for t in texts.values())
+    rows = c.STAGES[-1][1](spark, before, sf).collect()
+    assert {r.doc_id for r in rows} == set(texts)
