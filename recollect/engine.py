@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .config import TYPES, EngineConfig
 from .functions.text import norm_title, parse_tags
@@ -83,7 +84,7 @@ class Engine:
             for o in rows:
                 if o["type"] not in TYPES:
                     raise ValueError(f"type must be one of {', '.join(TYPES)}, not {o['type']}")
-            schema = OPS.add("sources", "array<long>") if "sources" not in OPS.names else OPS
+            schema = T.StructType([*OPS.fields, T.StructField("sources", T.ArrayType(T.LongType()))])
             ops = self.spark.createDataFrame([tuple(r[k] for k in schema.names) for r in rows], schema)
         given = set(ops.columns)
         rows = migrate(ops, OPS)

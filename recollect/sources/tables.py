@@ -33,8 +33,9 @@ def cut_lineage(df: DataFrame, name: str) -> DataFrame:
 class Snapshots:
     """Versions of the store below a folder of any file system that Spark reaches.
 
-    A version is a folder of tables; the file CURRENT names the one to read. It is replaced by a rename after all tables
-    are written, so readers see a whole version, and what a failed writer leaves is never read. One writer at a time.
+    A version is a list of tables' folders, in the file CURRENT. A write makes folders for the tables that it changes,
+    takes the others over, and then replaces CURRENT, so readers see a whole version, and what a failed writer leaves
+    is never read. One writer at a time.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -43,32 +44,39 @@ class Snapshots:
     def _fs(self):
         jvm = self.spark.sparkContext._jvm
         root = jvm.org.apache.hadoop.fs.Path(self.path)
-        return jvm, root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return jvm.org.apache.hadoop.fs.Path, root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _current(self) -> dict:
+        P, fs = self._fs()
+        if not fs.exists(P(f"{self.path}/CURRENT")):
+            return {"version": None, "tables": {}}
+        return json.loads(self.spark.read.text(f"{self.path}/CURRENT", wholetext=True).first().value)
 
     def version(self) -> str | None:
-        jvm, fs = self._fs()
-        if not fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/CURRENT")):
-            return None
-        return json.loads(self.spark.read.text(f"{self.path}/CURRENT", wholetext=True).first().value)["version"]
+        return self._current()["version"]
 
     def read(self) -> dict[str, DataFrame]:
         """All tables of the current version, in today's layout; empty ones before the first write."""
-        version = self.version()
-        if version is None:
-            return {name: self.spark.createDataFrame([], schema) for name, schema in TABLES.items()}
-        return {name: migrate(self.spark.read.parquet(f"{self.path}/{version}/{name}"), schema) for name, schema in TABLES.items()}
+        folders, out = self._current()["tables"], {}
+        for name, schema in TABLES.items():
+            folder = folders.get(name)
+            out[name] = migrate(self.spark.read.parquet(f"{self.path}/{folder}"), schema) if folder else self.spark.createDataFrame([], schema)
+            out[name]._folder = folder
+        return out
 
     def write(self, tables: dict[str, DataFrame]) -> str:
-        """Write a new version; tables that are not given are taken over. It gives the version's name."""
-        old = self.read()
+        """Make a new version; tables that are not given, or are as they were read, are taken over. It gives the version's name."""
+        folders = self._current()["tables"]
         version = f"v-{uuid.uuid4().hex}"
-        for name, schema in TABLES.items():
-            migrate(tables.get(name, old[name]), schema).write.parquet(f"{self.path}/{version}/{name}")
-        jvm, fs = self._fs()
-        P = jvm.org.apache.hadoop.fs.Path
+        for name, df in tables.items():
+            if name in folders and getattr(df, "_folder", None) == folders[name]:
+                continue
+            migrate(df, TABLES[name]).write.parquet(f"{self.path}/{version}/{name}")
+            folders[name] = f"{version}/{name}"
+        P, fs = self._fs()
         fresh, current = P(f"{self.path}/CURRENT-{version}"), P(f"{self.path}/CURRENT")
         out = fs.create(fresh, True)
-        out.write(bytearray(json.dumps({"version": version}).encode()))
+        out.write(bytearray(json.dumps({"version": version, "tables": folders}).encode()))
         out.close()
         if fs.exists(current):
             fs.delete(current, False)
