@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
+from ..sources.ship import ship
 
 
 def gap_sessions(events: DataFrame, gap_seconds: int = 1800) -> DataFrame:
@@ -64,6 +65,7 @@ def touch_sessions(touches: DataFrame, members: DataFrame | None = None, config:
     touches: session_id, touch, rank, memory_id; members: the activation before, if any. A session's rows come to one
     task, sorted; its state is bounded by what a touch can add and the removal of residues.
     """
+    ship(touches.sparkSession)
     rows = touches.select(F.col("session_id").cast("string").alias("session_id"), F.col("touch").cast("long").alias("touch"), F.col("rank").cast("long").alias("rank"), F.col("memory_id").cast("long").alias("memory_id"), F.lit(None).cast("double").alias("activation"))
     # ranks beyond the last bump leave no trace, so they need not travel
     last = 0

@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.ship import ship
+
 #: Query vectors that are sent to the executors at once; more are searched in several rounds.
 SLICE = 4096
 #: Rows of a block of the self-join.
@@ -42,6 +44,7 @@ def cosine_search(vectors: DataFrame, queries: DataFrame, k: int = 200, floor: f
     from pyspark.sql.types import ArrayType
 
     spark = vectors.sparkSession
+    ship(spark)
     if "type" not in queries.columns:
         queries = queries.withColumn("type", F.lit(None).cast("string"))
     rows = queries.where(F.col("embedding").isNotNull() & F.exists("embedding", lambda x: x != 0)).select("query_id", "type", "embedding")
@@ -99,6 +102,7 @@ def nearest(vectors: DataFrame, among: DataFrame, k: int = 8) -> DataFrame:
     own, and passes on k rows a vector.
     """
     spark = vectors.sparkSession
+    ship(spark)
     plain = lambda df: df.where(F.col("embedding").isNotNull()).select(F.col("id").cast("long").alias("id"), "embedding")
     left, right = _blocks(plain(vectors)), _blocks(plain(among)).select("block", F.col("ids").alias("o_ids"), F.col("matrix").alias("o_matrix"))
     numbers = [r.block for r in _blocks(plain(among)).select("block").collect()]

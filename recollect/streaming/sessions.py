@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..operators.sessions import fold_session
+from ..sources.ship import ship
 
 
 def stream_gap_sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
@@ -44,5 +45,6 @@ def stream_touches(touches: DataFrame, config: EngineConfig = EngineConfig()) ->
         out = [(key[0], "member", m, None, a) for m, a in after.items()] + [(key[0], "pair", a, b, float(n)) for (a, b), n in pairs.items()]
         yield pd.DataFrame(out, columns=["session_id", "kind", "a", "b", "value"]).astype({"a": "Int64", "b": "Int64"})
 
+    ship(touches.sparkSession)
     rows = touches.select(F.col("session_id").cast("string").alias("session_id"), F.col("touch").cast("long").alias("touch"), F.col("rank").cast("long").alias("rank"), F.col("memory_id").cast("long").alias("memory_id"))
     return rows.groupBy("session_id").applyInPandasWithState(fold, OUT, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)

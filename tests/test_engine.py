@@ -16,8 +16,13 @@ from recollect.streaming.sessions import stream_gap_sessions, stream_touches
 AXES = [["car", "truck", "engine"], ["soup", "bread"], ["python", "compiler"]]
 
 
-def embed(texts):
-    return [[float(sum(w in t.lower() for w in axis)) for axis in AXES] for t in texts]
+def embedder():
+    axes = AXES  # held by the function itself: workers do not import this module
+
+    def embed(texts):
+        return [[float(sum(w in t.lower() for w in axis)) for axis in axes] for t in texts]
+
+    return embed
 
 
 def ask(spark, *texts):
@@ -26,7 +31,7 @@ def ask(spark, *texts):
 
 @pytest.fixture()
 def engine(spark, tmp_path):
-    return Engine(spark, f"file://{tmp_path}/store", EngineConfig(), embed)
+    return Engine(spark, f"file://{tmp_path}/store", EngineConfig(), embedder())
 
 
 def test_remember_recall_and_learning(spark, engine):
