@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
 import tempfile
 import uuid
-import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-_shipped: set[str] = set()
+from ..sources.ship import ship
+
+#: Buckets of ids, of which the ones that are wanted are broadcast: so many rows of a long at most.
+ID_BUCKETS = 1 << 20
+
+__all__ = ["ID_BUCKETS", "drop_path", "fresh_path", "shared_dir", "ship", "stage", "trimmed", "unstage", "without_ids"]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,22 +53,32 @@ def unstage(df: DataFrame) -> None:
     drop_path(df.sparkSession, df._staged_path)
 
 
-def ship(spark: SparkSession) -> None:
-    """Give this package to the executors' Python once per application, so that workers can import it anywhere."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    _shipped.add(app)
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    if not os.path.isdir(top):
-        return
-    folder = tempfile.mkdtemp(prefix="recollect-zip-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    target = os.path.join(folder, f"recollect-{uuid.uuid4().hex[:8]}.zip")
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-        for where, _, names in os.walk(top):
-            for n in sorted(names):
-                if n.endswith(".py"):
-                    full = os.path.join(where, n)
-                    z.write(full, os.path.relpath(full, os.path.dirname(top)))
-    spark.sparkContext.addPyFile(target)
+def trimmed(run):
+    """A function over batches that gives its memory back to the system when a task ends: workers live on."""
+
+    def inner(batches):
+        yield from run(batches)
+        import ctypes
+
+        import pyarrow as pa
+
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+        if trim is not None:
+            trim(0)
+
+    return inner
+
+
+def without_ids(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id is not in ``gone`` (doc_id).
+
+    Only rows whose id shares a bucket with one that goes are shuffled; a list of buckets, of bounded length, tells the
+    others where they are read.
+    """
+    gone = stage(gone.select(F.col("doc_id").cast("long").alias("__gone")), "gone")
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(ID_BUCKETS))
+    buckets = F.broadcast(gone.select(bucket(F.col("__gone")).alias("__bucket")).distinct())
+    here = bucket(docs[id_col].cast("long")) == buckets["__bucket"]
+    perhaps = docs.join(buckets, here, "left_semi")
+    return docs.join(buckets, here, "left_anti").unionByName(perhaps.join(gone, perhaps[id_col].cast("long") == gone["__gone"], "left_anti"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .jaccard import _power, mix
-from .staging import ship
+from .staging import ship, trimmed
 
 LENGTH, GRAM = 100, 32
 #: K-grams of a string, and so the bytes that can lie before its anchor, plus one.
@@ -295,6 +295,8 @@ def _run_rows(buckets: int):
         held, total = [], 0
         for batch in batches:
             for k in range(batch.num_rows):
+                if not batch.column(2)[k].is_valid:
+                    continue
                 doc = batch.column(0)[k].as_py()
                 data = np.frombuffer(batch.column(1)[k].as_buffer(), np.uint8)
                 marks = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(2)[k].values]))
@@ -447,10 +449,11 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     spark = texts.sparkSession
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = lambda df: df.repartition(buckets, "key").sortWithinPartitions("key")
-    marks = dealt(texts.mapInArrow(_hash_rows(buckets), _ROWS)).mapInArrow(_repeated, _MARKS)
+    marks = dealt(texts.mapInArrow(trimmed(_hash_rows(buckets)), _ROWS)).mapInArrow(trimmed(_repeated), _MARKS)
     marks = marks.groupBy("doc_id").agg(F.collect_list("data").alias("marks"))
-    around = texts.join(marks, "doc_id").select("doc_id", "text", "marks")
-    return dealt(around.mapInArrow(_run_rows(buckets), _ROWS)).mapInArrow(_merged, _MARKS)
+    # an outer join here and in suffix_dedup, so that both read one shuffle of the texts
+    around = texts.join(marks, "doc_id", "left").select("doc_id", "text", "marks")
+    return dealt(around.mapInArrow(trimmed(_run_rows(buckets)), _ROWS)).mapInArrow(trimmed(_merged), _MARKS)
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
