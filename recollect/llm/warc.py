@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from .staging import fresh_path, ship, stage
 
 SEGMENT = 16_000_000
+#: Buckets of page ids, of which those with revisits are broadcast.
+ID_BUCKETS = 1 << 20
 VERSION = b"WARC/1.1"
 DATE = "2024-01-01T00:00:00Z"
 _VERSION_LINE = re.compile(rb"WARC/\d+\.\d+\r\n")
@@ -205,7 +207,13 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     ship(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(payload_col, F.lit("")).alias("payload"))
     rows = rows.withColumn("digest", F.sha1(F.encode("payload", "UTF-8")))
-    rows = rows.join(mark_revisits(pages, id_col, payload_col, minimum), ["page_id", "digest"], "left").select("page_id", "url", "payload", "refers_to")
+    revisits = stage(mark_revisits(pages, id_col, payload_col, minimum), "revisits")
+    # only pages that can be revisits are shuffled for the join; the others are told by a bounded list of buckets
+    bucket = F.pmod(F.xxhash64("page_id"), F.lit(ID_BUCKETS))
+    buckets = F.broadcast(revisits.select(bucket.alias("bucket")).distinct())
+    rows = rows.withColumn("bucket", bucket)
+    perhaps = rows.join(buckets, "bucket", "left_semi").drop("bucket").join(revisits, ["page_id", "digest"], "left")
+    rows = rows.join(buckets, "bucket", "left_anti").withColumn("refers_to", F.lit(None).cast("long")).unionByName(perhaps.drop("digest"), allowMissingColumns=True).select("page_id", "url", "payload", "refers_to")
 
     def segments(batches):
         held, size = [], 0
