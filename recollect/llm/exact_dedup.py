@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import stage
+from .staging import stage, without_ids
 
 #: Counters of the Misra-Gries summary, and so the most rows that the winners' broadcast can have.
 COUNTERS = 1024
@@ -57,5 +57,5 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
     """The rows of ``docs`` that exact_dedup keeps, with all their columns."""
-    gone = exact_dedup(docs, id_col, text_col, counters).where(~F.col("kept")).select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+    gone = exact_dedup(docs, id_col, text_col, counters).where(~F.col("kept")).select("doc_id")
+    return without_ids(docs, id_col, gone)

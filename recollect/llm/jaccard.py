@@ -1,17 +1,18 @@
 """Near-duplicate join: all pairs of texts whose shingle sets have a Jaccard similarity of 0.8 or more, and their components.
 
 The document by n-gram incidence matrix is multiplied with its transpose in blocks, and only where a product can
-reach its bound. By sizes alone, linked sets of sizes a and b share at least 80 % of either; so they share one of the
-first ``a - ceil(0.8 a) + 1`` n-grams of each, in any order common to all sets. Columns are the n-grams of those
-prefixes, rare ones first: n-grams that many sets of a task hold are found by local counts and put last. A block of
-columns gives candidate pairs, of which those whose sizes rule a link out are discarded at once. The rows of the
-remaining candidates are then multiplied whole: overlap counts are accumulated block by block and compared with the
-bound that the two sizes give.
+reach its bound. By sizes alone, linked sets of sizes a and b share at least 80 % of either; so they share k of the
+first ``a - ceil(0.8 a) + k`` n-grams of each, in any order common to all sets. Columns are the n-grams of those
+prefixes, rare ones first: n-grams that many sets of a task hold are found by local counts and put last. Blocks of
+columns give overlap counts of pairs, which are accumulated over all blocks; pairs whose sizes rule a link out are
+discarded at once, and pairs with a count below k, which the sizes give, after that. The rows of the remaining
+candidates are then multiplied whole, block by block, and compared with the bound that the two sizes give.
 
 Documents with one set are one row of the matrix. Within a column of very many rows only the pairs with its first row
 are multiplied at first; then, where the links found leave its rows in several components, each row outside the
 largest is multiplied with the rows of other components. Pairs within a component need no product, so no link
-between components is lost, and no group of near copies is expanded to all its pairs.
+between components is lost, and no group of near copies is expanded to all its pairs. A linked pair that shares fewer
+than k of the other columns shares one of these.
 
 Sets are held as 64-bit hashes; two different n-grams, or two different sets, are taken for one with a chance of
 2^-64 a pair.
@@ -27,17 +28,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import ship, stage
+from .staging import ID_BUCKETS, ship, stage, trimmed, without_ids
 
 WORDS, PERCENT = 5, 80
 #: Rows of a column up to which all its pairs are candidates at once.
-COLUMN = 48
-#: A column counts as frequent from this sum of local counts (each of LOCAL at least); fewer for more n-grams than MOST can hold.
-FREQUENT, LOCAL, MOST_FREQUENT = 24, 3, 2_000_000
+COLUMN = 32
+#: A column counts as frequent from this sum of local counts (each of LOCAL at least), or from the least sum that so many have.
+FREQUENT, LOCAL, MOST_FREQUENT = 2, 2, 1_000_000
+#: Columns of n-grams with such a sum are not shuffled by column; a set meets the first row of so many of them.
+HOT, STARS = 64, 24
 #: N-grams that a task counts together, bytes that it hashes together, classes that it remembers as sent.
-CHUNK_GRAMS, CHUNK_BYTES, REMEMBERED = 6_000_000, 2_000_000, 1_000_000
-#: Buckets of document ids by which the second reading of texts is narrowed.
-ID_BUCKETS = 1 << 20
+CHUNK_GRAMS, CHUNK_BYTES, REMEMBERED = 2_500_000, 1_000_000, 200_000
+
+#: A count that is enough for any pair.
+_ENOUGH = 1 << 40
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -105,6 +109,11 @@ def required(size: int, percent: int = PERCENT) -> int:
     return -(-percent * size // 100)
 
 
+def shared(size: int) -> int:
+    """How many n-grams of its prefix a set of this size has in common with a linked one's, if that asks for no fewer."""
+    return min(required(size), 4 + size // 25)
+
+
 def linked(common: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int, percent: int = PERCENT):
     return 100 * common >= percent * (a + b - common)
 
@@ -135,7 +144,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _survey(batches: Iterator[pa.RecordBatch], local: int) -> Iterator[pa.RecordBatch]:
     """(0, doc, size, class) of every document, and (1, n-gram, local count, 0) of the n-grams that are frequent here."""
     held: list[np.ndarray] = []
     total = 0
@@ -143,7 +152,7 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def frequent() -> Iterator[pa.RecordBatch]:
         grams, counts = np.unique(np.concatenate(held), return_counts=True)
-        often = counts >= LOCAL
+        often = counts >= local
         n = int(often.sum())
         if n:
             yield _batch("kind a b c", np.ones(n, np.int64), _signed(grams[often]), counts[often], np.zeros(n, np.int64))
@@ -165,61 +174,71 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from frequent()
 
 
-def _prefixes(frequent: np.ndarray, weight: np.ndarray):
-    """Emits (gram, class, size, often) of the prefix of every set that the task has not sent yet."""
+def _prefixes(frequent: np.ndarray, weight: np.ndarray, hot: int):
+    """Emits (gram, class, size, often, place) of the prefix of every set that the task has not sent yet.
+
+    often: 1 for the first STARS of the hot n-grams, 2 for their others, 0 for all else; place: the position in the set's order.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for _, sets in _chunks(batches):
-            grams, classes, sizes, often = [], [], [], []
+            grams, classes, sizes, often, places = [], [], [], [], []
             for s in sets:
                 if not len(s) or (c := class_of(s)) in seen:
                     continue
                 seen.add(c)
-                n = len(s) - required(len(s)) + 1
+                n = len(s) - required(len(s)) + shared(len(s))
+                rare, rest = s, np.empty(0, np.int64)
                 if len(frequent):
                     at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
                     hit = frequent[at] == s
-                    rare = s[~hit][:n]
-                    if len(rare) < n:
-                        rest = at[hit]
-                        rest = rest[np.argsort(weight[rest], kind="stable")][: n - len(rare)]
-                        grams += [rare, frequent[rest]]
-                        often += [np.zeros(len(rare), np.int64), np.ones(len(rest), np.int64)]
-                    else:
-                        grams.append(rare)
-                        often.append(np.zeros(n, np.int64))
-                else:
-                    grams.append(s[:n])
-                    often.append(np.zeros(n, np.int64))
+                    rare, rest = s[~hit], at[hit]
+                rare = rare[:n]
+                rest = rest[np.argsort(weight[rest], kind="stable")][: n - len(rare)]
+                grams += [rare, frequent[rest]]
+                many = weight[rest] >= hot
+                often += [np.zeros(len(rare), np.int64), np.where(many, np.where(np.cumsum(many) <= STARS, 1, 2), 0)]
+                places.append(np.arange(n))
                 classes.append(np.full(n, c, np.int64))
                 sizes.append(np.full(n, len(s), np.int64))
             if len(seen) > REMEMBERED:
                 seen.clear()
             if grams:
-                yield _batch("gram class size often", _signed(np.concatenate(grams)), *map(np.concatenate, (classes, sizes, often)))
+                yield _batch("gram class size often place", _signed(np.concatenate(grams)), *map(np.concatenate, (classes, sizes, often, places)))
 
     return run
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by column: the pairs (a, b) of each column that sizes allow; (gram, null) of columns with too many rows.
+def _candidates(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by column: (a, b, n, need), the columns that a pair shares here and how many it must share in all.
 
-    Of these, the pairs with their first row are given at once.
+    Of columns with too many rows only the pairs with their first row are given, as if they shared enough, and
+    (gram, null, 0, 0).
     """
     gram, pivot, size, held, large = None, 0, 0, [], False
+    out: dict[tuple[int, int | None], list[int]] = {}
 
-    def pairs(own: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    def count(a: int, b: int | None, n: int, need: int) -> None:
+        own = out.get((a, b))
+        if own is None:
+            out[a, b] = [n, need]
+        else:
+            own[0] += n
+
+    def pairs(own: list[tuple[int, int]]) -> None:
         own.sort(key=lambda r: (r[1], r[0]))
         for j, (b, nb) in enumerate(own):
             for i in range(j - 1, -1, -1):
                 a, na = own[i]
                 if 100 * na < PERCENT * nb:  # rows descend by size from here
                     break
-                if a != b:
-                    yield (a, b) if a < b else (b, a)
+                count(min(a, b), max(a, b), 1, shared(na))
+
+    def star(c: int, n: int) -> None:
+        if c != pivot and 100 * min(n, size) >= PERCENT * max(n, size):
+            count(min(c, pivot), max(c, pivot), _ENOUGH, 1)
 
-    out: set[tuple[int, int | None]] = set()
     for batch in batches:
         grams, classes, sizes = (c.to_numpy() for c in batch.columns)
         same = np.concatenate((grams[1:] == grams[:-1], [True])) if len(grams) else np.empty(0, bool)
@@ -228,24 +247,30 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             g, c, n = int(grams[k]), int(classes[k]), int(sizes[k])
             if g != gram:
                 if len(held) > 1 and not large:
-                    out.update(pairs(held))
+                    pairs(held)
                 gram, pivot, size, held, large = g, c, n, [(c, n)], False
             elif large:
-                if c != pivot and 100 * min(n, size) >= PERCENT * max(n, size):
-                    out.add((min(c, pivot), max(c, pivot)))
+                star(c, n)
             elif (c, n) not in held:
                 held.append((c, n))
-                if len(held) > COLUMN:
+                if len(held) > column:
                     large = True
-                    out.add((g, None))
-                    out.update((min(c, pivot), max(c, pivot)) for c, n in held[1:] if 100 * min(n, size) >= PERCENT * max(n, size))
-        if len(out) > 200_000:
-            yield _pairs_batch(out)
-            out = set()
+                    count(g, None, 0, 0)
+                    for row in held[1:]:
+                        star(*row)
+        if len(out) > 100_000:
+            yield _counts_batch(out)
+            out.clear()
     if len(held) > 1 and not large:
-        out.update(pairs(held))
+        pairs(held)
     if out:
-        yield _pairs_batch(out)
+        yield _counts_batch(out)
+
+
+def _counts_batch(out: dict) -> pa.RecordBatch:
+    a, b = zip(*out, strict=True)
+    n, need = zip(*out.values(), strict=True)
+    return _batch("a b n need", a, b, n, need)
 
 
 def _pairs_batch(out: set) -> pa.RecordBatch:
@@ -333,43 +358,56 @@ def components(edges: DataFrame) -> DataFrame:
         edges = following
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", column: int = COLUMN, hot: int = HOT, local: int = LOCAL) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, class.
 
     Words are split at U+0020 and U+0009 to U+000D, A to Z are lower-cased. Null texts count as empty; a text without words
     has no shingles and is linked with nothing, not even with its like. Rows that repeat an id count as one document
     each, with the id they share. An empty table gives an empty result. component_id is the smallest doc_id that links
-    lead to, the own one included; ``class`` is the same for documents with equal sets.
+    lead to, the own one included; ``class`` is the same for documents with equal sets. The last three parameters
+    change how pairs are found, never which.
     """
     spark = docs.sparkSession
     ship(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    survey = stage(texts.mapInArrow(_survey, "kind long, a long, b long, c long"), "survey")
+    survey = stage(texts.mapInArrow(trimmed(lambda batches: _survey(batches, local)), "kind long, a long, b long, c long"), "survey")
     rows = survey.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), F.when(F.col("b") > 0, F.col("c")).alias("class"))
 
-    # frequent n-grams, the most frequent last in every set's order; their number is bounded
-    often = survey.where("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).where(F.col("n") >= FREQUENT)
-    often = often.orderBy(F.desc("n"), "a").limit(MOST_FREQUENT).toArrow()
+    # frequent n-grams, the most frequent last in every set's order; the bar is such that their number is bounded
+    often = stage(survey.where("kind = 1").groupBy("a").agg(F.sum("b").alias("n")), "local-counts")
+    by_count = sorted(((r.n, r.m) for r in often.groupBy(F.least("n", F.lit(10_000)).alias("n")).agg(F.count(F.lit(1)).alias("m")).collect()), reverse=True)
+    bar, total = 10_001, 0
+    for n, m in by_count:
+        if total + m > MOST_FREQUENT:
+            break
+        bar, total = n, total + m
+    often = often.where(F.col("n") >= max(bar, FREQUENT)).toArrow()
     grams, weight = (often.column(k).to_numpy() for k in (0, 1))
     order = np.argsort(grams.view(np.uint64))
     held = spark.sparkContext.broadcast((grams.view(np.uint64)[order], weight[order]))
 
     def prefixes(batches):
-        yield from _prefixes(*held.value)(batches)
+        yield from _prefixes(*held.value, hot)(batches)
 
-    columns = stage(texts.mapInArrow(prefixes, "gram long, class long, size long, often long"), "prefixes")
-    rare = columns.where("often = 0").select("gram", "class", "size")
-    first = rare.repartition("gram").sortWithinPartitions("gram", "class").mapInArrow(_candidates, "a long, b long")
+    columns = stage(texts.mapInArrow(trimmed(prefixes), "gram long, class long, size long, often long, place long"), "prefixes")
+    # every column has its own order of rows, so that its first row is another one than its neighbour's
+    draw = F.xxhash64("class", "gram")
+    rare = columns.where("often = 0").select("gram", "class", "size", "place")
+    first = rare.repartition("gram").sortWithinPartitions("gram", draw).select("gram", "class", "size").mapInArrow(trimmed(lambda batches: _candidates(batches, column)), "a long, b long, n long, need long")
     # a frequent column's rows meet its first row where they are; there are at most MOST_FREQUENT first rows
-    common = columns.where("often = 1").select("gram", "class", "size")
-    pivots = common.groupBy("gram").agg(F.min(F.struct("class", "size")).alias("p")).select("gram", "p.class", "p.size")
+    common = columns.where("often > 0").select("gram", "class", "size", "place", "often")
+    pivots = common.groupBy("gram").agg(F.min(F.struct(draw.alias("draw"), "class", "size")).alias("p")).select("gram", "p.class", "p.size")
     allowed = lambda x, y: 100 * F.least(x, y) >= PERCENT * F.greatest(x, y)
-    second = common.alias("c").join(pivots.alias("p"), "gram").where((F.col("c.class") != F.col("p.class")) & allowed(F.col("c.size"), F.col("p.size")))
-    second = second.select(F.least("c.class", "p.class").alias("a"), F.greatest("c.class", "p.class").alias("b"))
-    found = stage(first.unionByName(second).distinct(), "candidates")
+    second = common.where("often = 1").alias("c").join(pivots.alias("p"), "gram").where((F.col("c.class") != F.col("p.class")) & allowed(F.col("c.size"), F.col("p.size")))
+    second = second.select(F.least("c.class", "p.class").alias("a"), F.greatest("c.class", "p.class").alias("b"), F.lit(_ENOUGH).alias("n"), F.lit(1).cast("long").alias("need"))
+    found = first.unionByName(second).groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need"))
+    found = stage(found.where("n >= need").select("a", "b"), "candidates")
     large = found.where("b is null").select(F.col("a").alias("gram"))
     pairs = found.where("b is not null")
-    dense = stage(common.unionByName(rare.join(large, "gram", "left_semi")), "dense-columns")
+    # which columns these are, is told by a bounded list of buckets, so that the others need no shuffle
+    bucket = F.pmod(F.xxhash64("gram"), F.lit(ID_BUCKETS)).alias("bucket")
+    perhaps = rare.withColumn("bucket", bucket).join(F.broadcast(large.select(bucket).distinct()), "bucket", "left_semi").drop("bucket")
+    dense = stage(common.drop("often").unionByName(perhaps.join(large, "gram", "left_semi")), "dense-columns")
 
     # the rows of candidates, whole
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).unionByName(dense.select("class")).distinct()
@@ -383,23 +421,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             own = [s for s in sets if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())], names=["class", "grams"])
 
-    near = texts.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(ID_BUCKETS))).join(F.broadcast(buckets), "bucket", "left_semi").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text")
-    matrix = stage(near.mapInArrow(whole, "class long, grams binary").dropDuplicates(["class"]), "rows")
+    near = texts.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(ID_BUCKETS))).join(F.broadcast(buckets), "bucket", "left_semi").join(wanted.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text")
+    if not rows.groupBy("doc_id").count().where("count > 1").isEmpty():  # repeated rows
+        near = near.dropDuplicates(["doc_id", "text"])
+    matrix = stage(near.mapInArrow(trimmed(whole), "class long, grams binary"), "rows")
 
     def multiplied(of: DataFrame, name: str) -> DataFrame:
         left, right = (matrix.select(F.col("class").alias(k), F.col("grams").alias(f"g{k}")) for k in "ab")
         both = of.join(left, "a").join(right, "b").select("a", "b", "ga", "gb")
-        return stage(both.mapInArrow(_products, "a long, b long"), name)
+        return stage(both.mapInArrow(trimmed(_products), "a long, b long"), name)
 
     edges = multiplied(pairs, "links")
     if not dense.isEmpty():
         roots = components(edges)
-        placed = dense.join(roots.withColumnRenamed("node", "class"), "class", "left").select("gram", "class", "size", F.coalesce("root", "class").alias("root"))
+        placed = dense.join(roots.withColumnRenamed("node", "class"), "class", "left").select("gram", "class", "size", "place", F.coalesce("root", "class").alias("root"))
         mixed = placed.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("gram")
         placed = stage(placed.join(mixed, "gram", "left_semi"), "mixed-columns")
         main = placed.groupBy("gram", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("gram").agg(F.max(F.struct("n", "root")).alias("m")).select("gram", F.col("m.root").alias("main"))
         others = stage(placed.join(main, "gram").where("root <> main").drop("main"), "other-rows")
-        cross = others.alias("x").join(placed.alias("y"), "gram").where((F.col("x.root") != F.col("y.root")) & allowed(F.col("x.size"), F.col("y.size")))
+        x, y = others.alias("x"), placed.alias("y")
+        # before its first dense column a pair shares fewer than k others, so what is left must do for the rest of its bound
+        sizes = F.col("x.size") + F.col("y.size")
+        left = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
+        need = F.least(*(4 + F.floor(F.col(f"{t}.size") / 25) for t in "xy"))
+        reach = (100 + PERCENT) * (left + need - 1) >= PERCENT * sizes
+        cross = x.join(y, "gram").where((F.col("x.root") != F.col("y.root")) & allowed(F.col("x.size"), F.col("y.size")) & reach)
         cross = stage(cross.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct(), "cross-pairs")
         edges = edges.unionByName(multiplied(cross, "cross-links"))
     roots = components(edges)
@@ -414,5 +460,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all columns, of one document of each component: that with the smallest id."""
-    gone = near_duplicates(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+    gone = near_duplicates(docs, id_col, text_col).where("doc_id <> component_id").select("doc_id")
+    return without_ids(docs, id_col, gone)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import ship
+from .staging import ship, trimmed
 
 #: Bytes of a passage; texts are cut into passages that cover them wholly.
 PASSAGE = 512
@@ -23,7 +23,7 @@ FEATURES = 256 + PAIRS + 2
 #: The training sample: documents of each class at most, and passages of each of these at most, evenly spread.
 SAMPLE_PER_CLASS, SAMPLE_PASSAGES = 1500, 64
 THRESHOLD = 0.3
-_SLAB = 4096  # passages that are encoded at once
+_SLAB = 2048  # passages that are encoded at once
 
 
 def features(data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -187,10 +187,10 @@ def score_quality(docs: DataFrame, model: AttentionModel | float, id_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return plain.mapInArrow(run, "doc_id long, score double").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
+    return plain.mapInArrow(trimmed(run), "doc_id long, score double").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
 
 
-def scored(texts: pa.Array, model: AttentionModel | float, most: int = 4_000_000) -> Iterator[np.ndarray]:
+def scored(texts: pa.Array, model: AttentionModel | float, most: int = 2_000_000) -> Iterator[np.ndarray]:
     """Scores of a column of texts, computed for about ``most`` bytes at once."""
     held, size = [], 0
     for t in texts:
@@ -215,4 +215,4 @@ def keep_good(docs: DataFrame, model: AttentionModel | float, text_col: str = "t
             scores = np.concatenate([*scored(batch.column(place), held.value), np.empty(0)])
             yield batch.filter(pa.array(scores >= THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

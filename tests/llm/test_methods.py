@@ -270,9 +270,9 @@ def near_by_force(texts):
     return {d: (len(s), find(d)) for d, s in sets.items()}
 
 
-@pytest.mark.parametrize("column", [48, 2])
-def test_near_copies_against_brute_force(spark, column, monkeypatch):
-    monkeypatch.setattr(jaccard, "COLUMN", column)
+@pytest.mark.parametrize(("column", "hot"), [(32, 64), (2, 64), (32, 1)])
+def test_near_copies_against_brute_force(spark, column, hot):
+    """Also with most columns too large, and with most n-grams hot."""
     draw = random.Random(column)
     words = [f"w{i}" for i in range(60)]
     bases = [[draw.choice(words) for _ in range(draw.choice([3, 6, 30, 60, 120]))] for _ in range(12)]
@@ -286,28 +286,10 @@ def test_near_copies_against_brute_force(spark, column, monkeypatch):
     texts |= {1000: "", 1001: " ", 1002: "W1 w2", 1003: "w1\tW2"}
     want = near_by_force(texts)
     rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(rows).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(rows, column=column, hot=hot, local=1).collect()}
     assert got == want
 
 
-def test_near_copies_with_frequent_shingles(spark, monkeypatch):
-    """The frequent columns, the salted way round: most columns count as frequent."""
-    monkeypatch.setattr(jaccard, "FREQUENT", 3)
-    monkeypatch.setattr(jaccard, "LOCAL", 1)
-    draw = random.Random(9)
-    words = [f"v{i}" for i in range(40)]
-    bases = [[draw.choice(words) for _ in range(40)] for _ in range(5)]
-    texts = {}
-    for d in range(120):
-        own = list(draw.choice(bases))
-        for _ in range(draw.choice([0, 1, 2, 3])):
-            own[draw.randrange(40)] = draw.choice(words)
-        texts[d] = " ".join(own)
-    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(2)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(rows).collect()}
-    assert got == near_by_force(texts)
-
-
 def test_quality_gradients_and_held_out_accuracy(spark, sf):
     draw = np.random.default_rng(0)
     model = quality.AttentionModel()
