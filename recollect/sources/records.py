@@ -22,7 +22,9 @@ def write_export(memories: DataFrame, path: str) -> None:
 
 def read_export(spark: SparkSession, path: str) -> DataFrame:
     """Records of an export, as lines or as one JSON list; what is no record comes as nulls."""
-    return spark.read.schema(EXPORT).option("multiLine", "true").json(path)
+    first = spark.read.text(path).where("trim(value) <> ''").first()
+    one_list = first is not None and first.value.lstrip().startswith("[")
+    return spark.read.schema(EXPORT).option("multiLine", str(one_list).lower()).json(path)
 
 
 def usable(records: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ def ask(spark, *texts):
 
 @pytest.fixture()
 def engine(spark, tmp_path):
-    return Engine(spark, f"file://{tmp_path}/store", EngineConfig(), embedder())
+    return Engine(spark, f"file://{tmp_path}/store", EngineConfig(recall_budget=2), embedder())
 
 
 def test_remember_recall_and_learning(spark, engine):
