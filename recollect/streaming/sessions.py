@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from ..config import EngineConfig
-from ..operators.sessions import fold_session
-from ..sources.ship import ship
+from ..operators.sessions import touch_sessions
+from ..sources.tables import cut_lineage
 
 
 def stream_gap_sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
@@ -20,31 +22,26 @@ def stream_gap_sessions(events: DataFrame, gap: str = "30 minutes", late: str =
     return windows.select("key", F.col("w.start").alias("start_at"), "end_at", "n_events")
 
 
-STATE = "members map<bigint, double>"
-OUT = "session_id string, kind string, a long, b long, value double"
+MEMBERS = "session_id string, memory_id long, activation double"
 
 
-def stream_touches(touches: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
-    """Fold a stream of touches (session_id, touch, rank, memory_id): after each batch, the members of the sessions it
-    touched ("member") and the pairs that it activated ("pair").
+def stream_touches(touches: DataFrame, state_path: str, each: Callable[[DataFrame, int], None], config: EngineConfig = EngineConfig()) -> DataStreamWriter:
+    """Fold a stream of touches (session_id, touch, rank, memory_id), batch by batch; start() the writer it gives.
 
-    State is each session's activation; it ends after the sweep's horizon without a touch. Touches of a session must
-    come in order over batches and each within one batch.
+    ``each`` gets what operators.sessions.touch_sessions gives for the sessions of a batch, and the batch's number. The
+    members of all sessions are a table below ``state_path`` per batch, made from that of the batch before, so a batch
+    that is run again after a failure gives the same. Touches of a session must come in order over batches and each
+    within one batch.
     """
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    def fold(key, batches, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        before = dict(state.get[0]) if state.exists else {}
-        rows = pd.concat(list(batches)).sort_values(["touch", "rank", "memory_id"])
-        after, pairs = fold_session({int(m): float(a) for m, a in before.items()}, [g.memory_id.astype(int).tolist() for _, g in rows.groupby("touch", sort=True)], config)
-        state.update((after,))
-        state.setTimeoutDuration(config.session_sweep_horizon * 1000)
-        out = [(key[0], "member", m, None, a) for m, a in after.items()] + [(key[0], "pair", a, b, float(n)) for (a, b), n in pairs.items()]
-        yield pd.DataFrame(out, columns=["session_id", "kind", "a", "b", "value"]).astype({"a": "Int64", "b": "Int64"})
-
-    ship(touches.sparkSession)
-    rows = touches.select(F.col("session_id").cast("string").alias("session_id"), F.col("touch").cast("long").alias("touch"), F.col("rank").cast("long").alias("rank"), F.col("memory_id").cast("long").alias("memory_id"))
-    return rows.groupBy("session_id").applyInPandasWithState(fold, OUT, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        before = spark.read.schema(MEMBERS).parquet(f"{state_path}/{number - 1}") if number else spark.createDataFrame([], MEMBERS)
+        rows = batch.withColumn("session_id", F.col("session_id").cast("string"))
+        mine = rows.select("session_id").distinct()
+        folded = cut_lineage(touch_sessions(rows, before.join(mine, "session_id", "left_semi"), config), "folded")
+        after = before.join(mine, "session_id", "left_anti").unionByName(folded.where("kind = 'member'").select("session_id", F.col("a").alias("memory_id"), F.col("value").alias("activation")))
+        after.write.mode("overwrite").parquet(f"{state_path}/{number}")
+        each(folded, number)
+
+    return touches.writeStream.foreachBatch(step)
