@@ -690,7 +690,7 @@ def _compared(spark, sf):
     return evalkit.ndcg_at(found, golds), evalkit.ndcg_at(_run(spark, sf, True)[0], golds)
 
 
-@query(sql(_EVAL_SQL + " SELECT count(*) AS n, count_if(t.value > n.value + 1e-9) AS improved, count_if(abs(t.value - n.value) <= 1e-9) AS unchanged, count_if(t.value < n.value - 1e-9) AS regressed, round(avg(n.value), 6) AS mean_before, round(avg(t.value), 6) AS mean_after FROM nd n JOIN nt t USING (query_id)", "sims"))
+@query(sql(_EVAL_SQL + " SELECT count(*) AS n, CAST(count_if(t.value > n.value + 1e-9) AS BIGINT) AS improved, CAST(count_if(abs(t.value - n.value) <= 1e-9) AS BIGINT) AS unchanged, CAST(count_if(t.value < n.value - 1e-9) AS BIGINT) AS regressed, round(avg(n.value), 6) AS mean_before, round(avg(t.value), 6) AS mean_after FROM nd n JOIN nt t USING (query_id)", "sims"))
 def outcome_distribution(spark, sf):
     d = evalkit.distribution(*_compared(spark, sf))
     return d.select(*(big(c).alias(c) for c in ("n", "improved", "unchanged", "regressed")), *(r6(c).alias(c) for c in ("mean_before", "mean_after")))
