@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..functions.text import excerpt, has_tags
+from ..sources.tables import cut_lineage
 from .fts import search
 from .fusion import seed_scores
 from .graph import spread
@@ -71,13 +72,14 @@ def recall(memories: DataFrame, edges: DataFrame, queries: DataFrame, members: D
     A query without seeds gives nothing, whatever its session holds. Rows beyond the limit are kept when they are in the
     head, with null as rank: learning uses the whole head.
     """
-    found = seeds(memories, queries, config, now)
-    if not config.assoc:
+    if config.assoc:  # read by the walk, the head and the result: written once
+        found = cut_lineage(seeds(memories, queries, config, now), "seeds")
+    else:
         return plain_recall(memories, queries, config, now).withColumnRenamed("score", "activation").withColumns({"is_seed": F.lit(True), "in_head": F.lit(False), "via": F.lit(None).cast(VIA)})
     start = found.select("query_id", "id", F.col("score").alias("activation"))
     if members is not None and sessions is not None:
         start = primed(found, members, sessions, memories, config, type_).join(found.select("query_id").distinct(), "query_id", "left_semi")
-    walked = spread(start, edges, memories, config, type_=type_)
+    walked = cut_lineage(spread(start, edges, memories, config, type_=type_), "walked")
     rows = protected(_tagged(walked, memories, queries), found, config)
     inside = F.col("rank") <= config.recall_limit
     return rows.where(inside | F.col("in_head")).withColumn("via", via()).withColumn("rank", F.when(inside, F.col("rank"))).drop("receipt")
