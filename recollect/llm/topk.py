@@ -20,6 +20,8 @@ from .staging import ship, stage
 
 #: Rows of a block of candidates and of queries, of a slab, and of the longest vectors that give first bounds.
 CANDIDATES, QUERIES, SLAB, SEEDS = 8192, 1024, 1024, 2048
+#: Pairs that are scored exactly at once.
+PAIRS = 20_000
 _EXACT = float(2**53)
 _BLOCK = "block long, n long, dim long, ids binary, raw binary, bounds binary"
 
@@ -92,7 +94,7 @@ def best_in_block(q_ids: np.ndarray, q: np.ndarray, bounds: np.ndarray, c_ids: n
             bounds[live] = np.maximum(bounds[live], np.partition(low, e - s - k, 1)[:, e - s - k] - slack[live])
             may &= first + np.outer(q_rest[live], c_rest[s:e]) + slack[live, None] >= bounds[live, None]
         rows, cols = np.nonzero(may)
-        scores = _exact(q[live[rows]], c[s + cols])
+        scores = np.concatenate([np.empty(0, np.int64), *(_exact(q[live[rows[i : i + PAIRS]]], c[s + cols[i : i + PAIRS]]) for i in range(0, len(rows), PAIRS))])
         order = np.lexsort((c_ids[s + cols], -scores, rows))
         rows, cols, scores = rows[order], cols[order], scores[order]
         rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
