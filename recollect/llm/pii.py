@@ -2,16 +2,20 @@
 
 The tagger is a bidirectional LSTM with CRF transitions, trained here in numpy from labelled spans in generated
 sentences, whose forms go beyond the patterns (bracketed or spaced numbers, obfuscated addresses, six groups of
-colons). A span must hold a digit or an at sign, so only stretches around those characters can have any: windows
-that overlap are laid over each such stretch, every window is decoded by itself, and the spans of all windows and
-the patterns' spans are reconciled over the whole text.
+colons). Windows that overlap are laid over the whole text and decoded each by itself. A window without a digit, an at
+sign or the word ``at`` is passed over, as no span of it can be plausible: the result is that of all windows. Where a
+span runs into a window's edge and no other window has it whole, a wider window is decoded, up to the whole text. The
+spans of all windows and the patterns' spans are reconciled over the whole text.
 """
 
 from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_right
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -77,7 +81,9 @@ SYMBOLS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 \n.,;:
 CODE = {c: i + 3 for i, c in enumerate(SYMBOLS)}
 #: 0 outside, then begin and inside of each kind.
 TAGS = 1 + 2 * len(KINDS)
-WINDOW, STRIDE, MARGIN = 96, 48, 24
+#: Length of the labelled sentences; then of the windows over texts, which overlap by half.
+WINDOW = 96
+SPAN_WINDOW, STRIDE = 192, 96
 
 
 def codes(text: str) -> np.ndarray:
@@ -99,9 +105,9 @@ def labelled_sentences(n: int = SENTENCES, seed: int = SEED) -> list[tuple[str,
         return sep.join(digits[k : k + 4] for k in range(0, len(digits), 4)) if draw.random() < 0.9 else "/".join(digits[k : k + 4] for k in range(0, len(digits), 4))
 
     def email() -> str:
-        name = draw.choice((word(), word() + "." + word(), word() + d(2), word() + "." + d(2)))
-        host, top = draw.choice((word(), "mail" + d(1), word() + "." + word())), draw.choice(("com", "org", "net", "de", "fr", "es"))
-        return draw.choice((f"{name}@{host}.{top}", f"{name}@{host}.example.{top}", f"{name} @ {host}.{top}", f"{name}@{host}(dot){top}", f"{name}[@]{host}.{top}"))
+        name = draw.choice((word(), word() + "." + word(), word() + d(2), word() + "." + d(2), word() + word() + "." + word()))
+        host, top = draw.choice((word(), "mail" + d(1), word() + "." + word(), word() + word() + "-" + word() + word())), draw.choice(("com", "org", "net", "de", "fr", "es"))
+        return draw.choice((f"{name}@{host}.{top}", f"{name}@{host}.example.{top}", f"{name} @ {host}.{top}", f"{name}@{host}(dot){top}", f"{name}[@]{host}.{top}", f"{name} (at) {host} (dot) {top}", f"{name}[at]{host}[dot]{top}"))
 
     def ip() -> str:
         o = lambda: str(draw.randint(0, 255))
@@ -347,38 +353,39 @@ def trained() -> Tagger:
 
 # --- whole texts ----------------------------------------------------------------------------------------------
 
-_ANCHOR = re.compile(r"[0-9@]")
+#: Every plausible span has one of these.
+_ANCHOR = re.compile(r"[0-9@]|\bat\b", re.IGNORECASE)
+_SPELLED_AT = re.compile(r"\s*[(\[{<]\s*at\s*[)\]}>]\s*", re.IGNORECASE)
+_SPELLED_DOT = re.compile(r"\s*[(\[{<]\s*dot\s*[)\]}>]\s*", re.IGNORECASE)
+_HOST_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789.-")
 
 
-def windows(text: str) -> list[tuple[int, int, bool, bool]]:
-    """(start, end, whether the stretch begins there, whether it ends there) of the windows of a text.
-
-    A stretch is what lies within ``MARGIN`` characters of digits and at signs; a longer one than a window is covered
-    by windows that overlap by half.
-    """
-    stretches: list[list[int]] = []
+def windows(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the windows over a text that can hold a plausible span."""
+    last = max(0, -(-(len(text) - SPAN_WINDOW) // STRIDE))
+    kept: set[int] = set()
     for m in _ANCHOR.finditer(text):
-        a, b = max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)
-        if stretches and a <= stretches[-1][1]:
-            stretches[-1][1] = b
-        else:
-            stretches.append([a, b])
-    out = []
-    for a, b in stretches:
-        at = a
-        while True:
-            end = min(b, at + WINDOW)
-            out.append((at, end, at == a, end == b))
-            if end == b:
-                break
-            at += STRIDE
-    return out
+        a, b = m.span()
+        kept.update(range(max(0, -(-(b - SPAN_WINDOW) // STRIDE)), min(last, a // STRIDE) + 1))
+    return [(k * STRIDE, min(len(text), k * STRIDE + SPAN_WINDOW)) for k in sorted(kept)]
+
+
+def whole_address(text: str, a: int, b: int) -> tuple[int, int]:
+    """The span of an address, grown to the ends of its first and last name, and over an at sign at its end."""
+    while a > 0 and text[a] in _LOCAL_CHARS and text[a - 1] in _LOCAL_CHARS:
+        a -= 1
+    if text[b - 1] == "@" and text[b : b + 1] == " " and text[b + 1 : b + 2] in _HOST_CHARS:
+        b += 2
+    while b < len(text) and text[b - 1] in _HOST_CHARS and text[b] in _HOST_CHARS:
+        b += 1
+    return a, b
 
 
 def plausible(kind: str, own: str) -> bool:
     """Whether a tagged span can be of its kind at all."""
     digits = sum(map(str.isdigit, own))
     if kind == "email":
+        own = _SPELLED_DOT.sub(".", _SPELLED_AT.sub("@", own))
         return "@" in own and any(c.isalpha() for c in own.partition("@")[0]) and any(c.isalpha() for c in own.partition("@")[2]) and ("." in own.partition("@")[2] or "dot" in own)
     if kind == "ip":
         groups = own.split(".")
@@ -389,24 +396,55 @@ def plausible(kind: str, own: str) -> bool:
     return 9 <= digits <= 15 and re.fullmatch(r"[+(]?[0-9][0-9 ().-]+[0-9]", own) is not None and re.search(r"[ ().-]", own) is not None
 
 
+def _portions(laid: list[tuple[int, int, int]], rows: int) -> Iterator[list[tuple[int, int, int]]]:
+    """Windows, shortest first, in batches of at most so many rows, fewer where they are long."""
+    k = 0
+    while k < len(laid):
+        n = rows
+        while n > 1 and n * (laid[min(k + n, len(laid)) - 1][2] - laid[min(k + n, len(laid)) - 1][1]) > rows * SPAN_WINDOW:
+            n //= 2
+        yield laid[k : k + n]
+        k += n
+
+
+def _wider(cut: list[tuple[int, int, int, int]], whole: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
+    """Windows of three times the length for spans that an edge cuts, unless a whole span holds what is seen of them;
+    those that meet become one."""
+    whole = sorted(whole)
+    starts, reach = [a for a, _ in whole], list(accumulate((b for _, b in whole), max))
+    out: list[list[int]] = []
+    for a, b in sorted({(max(0, a - (b - a)), min(length, b + b - a)) for s, e, a, b in cut if not ((k := bisect_right(starts, s)) and reach[k - 1] >= e)}):
+        if out and a < out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return [(a, b) for a, b in out]
+
+
 def find_personal(texts: list[str], tagger: Tagger, rows_at_once: int = 512) -> list[tuple[list[Span], list[Span]]]:
     """The base spans and all spans of each text."""
     bases = [in_order(base_spans(t), KINDS) for t in texts]
     laid = [(i, *w) for i, t in enumerate(texts) for w in windows(t)]
     found: dict[int, list[tuple[int, int, float, str]]] = {}
-    laid.sort(key=lambda w: w[2] - w[1])
-    for k in range(0, len(laid), rows_at_once):
-        part = laid[k : k + rows_at_once]
-        for (i, a, b, opens, closes), spans in zip(part, tagger.decode([codes(texts[i][a:b]) for i, a, b, _, _ in part]), strict=True):
-            for s, e, margin, kind in spans:
-                if (s or opens) and (e < b - a or closes):  # cut by the window's edge: the next window has it whole
-                    found.setdefault(i, []).append((a + s, a + e, margin, kind))
+    while laid:
+        cut: dict[int, list[tuple[int, int, int, int]]] = {}
+        laid.sort(key=lambda w: w[2] - w[1])
+        for part in _portions(laid, rows_at_once):
+            for (i, a, b), spans in zip(part, tagger.decode([codes(texts[i][a:b]) for i, a, b in part]), strict=True):
+                for s, e, margin, kind in spans:
+                    if (s or not a) and (e < b - a or b == len(texts[i])):
+                        found.setdefault(i, []).append((a + s, a + e, margin, kind))
+                    else:
+                        cut.setdefault(i, []).append((a + s, a + e, a, b))
+        laid = [(i, *w) for i, own in cut.items() for w in _wider(own, [f[:2] for f in found.get(i, ())], len(texts[i]))]
     out = []
     for i, t in enumerate(texts):
         base, more = bases[i], []
         if i in found:
             votes: dict[tuple[int, int, str], float] = {}
             for a, b, margin, kind in found[i]:
+                if kind == "email":
+                    a, b = whole_address(t, a, b)
                 a, b = a + len(t[a:b]) - len(t[a:b].lstrip(" \n,;")), b - len(t[a:b]) + len(t[a:b].rstrip(" \n,;."))
                 if margin > 0 and plausible(kind, t[a:b]) and not any(s < b and a < e for _, s, e in base):
                     votes[a, b, kind] = votes.get((a, b, kind), 0.0) + margin

@@ -152,6 +152,39 @@ def test_tagger_adds_spans_and_leaves_prose():
     assert pii.find_personal([clean], tagger)[0] == ([], [])
 
 
+class SureTagger:
+    """Tags all that looks like an address in what it is shown."""
+
+    FORM = re.compile(r"[a-z.]+(?: @ |\[@\]| \(at\) )[a-z.-]+(?: \(dot\) [a-z]+)?")
+
+    def decode(self, rows):
+        names = {v: k for k, v in pii.CODE.items()}
+        shown = ["".join(names[int(c)] for c in row) for row in rows]
+        return [[(*m.span(), 1.0, "email") for m in self.FORM.finditer(text)] for text in shown]
+
+
+def test_windows_have_addresses_whole():
+    pad = "the other one said so and went " * 9
+    long = "abc.def" * 40 + "[@]" + "host.example" * 12 + ".com"
+    for own in ("name @ universitaetsklinikum-heidelberg.de", "a.rather.long.name.of.some.person @ mail.example.com", "joe (at) example (dot) com", long):
+        for before in range(0, 200, 7):  # wherever the windows' edges fall
+            text = f"{pad[:before]}; {own}; {pad}"
+            at = text.index(own)
+            assert pii.find_personal([text], SureTagger())[0][1] == [("email", at, at + len(own))], (before, own)
+
+
+def test_windows_passed_over_hold_nothing(monkeypatch):
+    tagger = pii.trained()
+    text = "ask joe (at) example (dot) com now"
+    assert pii.find_personal([text], tagger)[0][1] == [("email", 4, 30)]
+    pad = "the other one said so and went " * 9
+    texts = [" ".join(t for t, _ in pii.labelled_sentences(1 + k, k)) + pad for k in range(8)]
+    kept = pii.find_personal(texts, tagger)
+    assert any(len(every) > len(base) for base, every in kept)
+    monkeypatch.setattr(pii, "_ANCHOR", re.compile(r"(?s)."))  # all windows
+    assert pii.find_personal(texts, tagger) == kept
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 
 
