@@ -77,20 +77,21 @@ def stretches(text: str) -> list[str]:
     return text.replace("\n", " ").split(" ")
 
 
-_words: dict[bytes, WordIds] = {}
+_words: dict[tuple[bytes, bool], WordIds] = {}
 
 
-def words_of(data: bytes) -> WordIds:
-    """The word cache of a tokenizer's file, made once per process. Special tokens' strings in a text are ordinary text."""
+def words_of(data: bytes, literal: bool = True) -> WordIds:
+    """The word cache of a tokenizer's file, made once per process. Special tokens' strings in a text are ordinary text
+    if ``literal``, else, as is the library's default, they are those tokens."""
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
-    key = hashlib.sha256(data).digest()
+    key = hashlib.sha256(data).digest(), literal
     if key not in _words:
         tokenizer = Tokenizer.from_buffer(data)
-        tokenizer.encode_special_tokens = True
+        tokenizer.encode_special_tokens = literal
         _words[key] = WordIds(tokenizer)
     return _words[key]
 
@@ -105,7 +106,8 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
 
     A document is its ids followed by ``end_id``; null texts count as empty, so every row has a piece at least.
     Repeated rows are packed each. Only the last sequence can be shorter than ``window``. An empty table has no
-    pieces. ids are the piece's ids as little-endian unsigned 32-bit bytes, null unless ``with_ids``.
+    pieces. ids are the piece's ids as little-endian unsigned 32-bit bytes, null unless ``with_ids``. They are the
+    library's own, with special tokens neither added nor, where a text has their strings, taken apart.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -114,7 +116,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     end = int(end_id).to_bytes(4, "little")
 
     def tokenise(batches):
-        words = words_of(data.value)
+        words = words_of(data.value, literal=False)
         part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
             ids: list[bytes] = []

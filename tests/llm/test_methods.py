@@ -262,6 +262,24 @@ def test_word_ids_on_odd_text():
         assert np.frombuffer(words.encode(own), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_special_strings_as_the_library(spark):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    words = packing.words_of(open(path, "rb").read(), literal=False)
+    draw = random.Random(6)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "text|>", "<", "|>", "a", "É", "'s", " ", "\n", "\t", "1", "!?", "\x01"]
+    texts = ["a <|endoftext|> b", *("".join(draw.choice(parts) for _ in range(draw.randint(0, 20))) for _ in range(2000))]
+    for text in texts:
+        own = packing.stretches(text)
+        words.learn(set(own))
+        assert np.frombuffer(words.encode(own), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+    docs = spark.createDataFrame(list(enumerate(texts[:3])), "doc_id long, text string")
+    for r in packing.pack(docs, path).collect():
+        assert np.frombuffer(bytes(r.ids), "<u4").tolist() == [*tokenizer.encode(texts[r.doc_id], add_special_tokens=False).ids, 1]
+
+
 def test_salvage():
     payloads = [b"one", b"two " * 500, b"", b"x\r\n\r\nWARC/1.1\r\ny", b"last"]
     records = [warc.record_bytes(i, f"http://h/{i}", p) for i, p in enumerate(payloads)]
