@@ -453,7 +453,7 @@ def spread_budget_n(spark, sf):
 
 
 def _associated(spark, sf):
-    return recall.recall(A.memories(spark, sf), A.graph_edges(spark, sf), A.text_queries(spark), config=EngineConfig(recall_budget=3))
+    return recall.recall(A.memories(spark, sf), A.graph_edges(spark, sf), A.text_queries(spark))
 
 
 @query()

@@ -341,3 +341,18 @@ def test_config():
 def test_tags(spark):
     m = mem(spark, [{"id": 1, "tags": ["a", "b", "c"]}, {"id": 2, "tags": ["a"], "s": 9}, {"id": 3, "tags": ["a", "c"], "to": 3}])
     assert [r.id for r in recall.by_tags(m, ["a"]).collect()] == [2, 1] and [r.id for r in recall.by_tags(m, ["c", "a"]).collect()] == [1]
+
+
+def test_recall_queries_have_the_default_budget(spark, sf, monkeypatch):
+    from recollect.plans.catalog import QUERIES
+
+    real, used = recall.spread, []
+
+    def spread(*args, **kw):
+        used.append(args[3].recall_budget)
+        return real(*args, **kw, budget=0)
+
+    monkeypatch.setattr(recall, "spread", spread)
+    for name in ("recall_associative", "via_receipts"):
+        QUERIES[name](spark, sf)
+    assert used == [EngineConfig().recall_budget] * 2
