@@ -144,12 +144,29 @@ def _inflate(data: bytes, at: int) -> tuple[bytes, int]:
     return out, len(data) - len(inflate.unused_data)
 
 
+def _records(inner: bytes) -> tuple[list[Record], str]:
+    """The sound records of a member's content, and the first reason, if any, why some of it holds none."""
+    found: list[Record] = []
+    place, why = 0, ""
+    while place < len(inner):
+        try:
+            record, place = _parse(inner, place)
+            found.append(record)
+        except Damaged as e:
+            why = why or str(e)
+            line = _VERSION_LINE.search(inner, place + 1)
+            place = line.start() if line else len(inner)
+    return found, why
+
+
 def salvage(data: bytes) -> Salvaged:
     """Read plain records and gzip members, mixed as they may be.
 
     After a failed check the search goes on, one byte past where the bad record began, for the next version line or
     member that parses and passes. The bytes between are one gap of the log, with the first reason. Trailing
-    bytes that hold no record are a gap too. Empty data gives nothing.
+    bytes that hold no record are a gap too. Empty data gives nothing. Of a member whose checksum is right, all sound
+    records are kept, and if some of it is none, the whole member is a gap as well. A member that does not inflate
+    to its end, or whose checksum is wrong, gives no records.
     """
     out = Salvaged()
     at, bad, why = 0, -1, ""
@@ -164,13 +181,14 @@ def salvage(data: bytes) -> Salvaged:
         try:
             if data.startswith(_MEMBER, at):
                 inner, end = _inflate(data, at)
-                found, place = [], 0
-                while place < len(inner):
-                    record, place = _parse(inner, place)
-                    record.start, record.end = at, end
-                    found.append(record)
+                found, reason = _records(inner)
                 if not found:
-                    raise Damaged("an empty member")
+                    raise Damaged(reason or "an empty member")
+                for record in found:
+                    record.start, record.end = at, end
+                if reason:
+                    close(at)
+                    out.gaps.append((at, end, reason))
             else:
                 record, end = _parse(data, at)
                 found = [record]

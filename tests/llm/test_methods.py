@@ -302,6 +302,18 @@ def test_salvage():
     assert warc.salvage(b"").records == [] and warc.salvage(b"nothing here").gaps[0][:2] == (0, 12)
 
 
+def test_salvage_of_records_in_one_member():
+    payloads = [b"one", b"two " * 50, b"x\r\n\r\nWARC/1.1\r\ny", b"last"]
+    records = [warc.record_bytes(i, f"http://h/{i}", p) for i, p in enumerate(payloads)]
+    for hurt in range(len(records)):
+        bad = bytearray(records[hurt])
+        bad[-6] ^= 0xFF
+        one = warc.member(b"".join([*records[:hurt], bytes(bad), *records[hurt + 1 :]]))
+        found = warc.salvage(one + warc.member(records[0]))
+        assert [r.payload for r in found.records] == [*(p for i, p in enumerate(payloads) if i != hurt), payloads[0]]
+        assert [(a, b) for a, b, _ in found.gaps] == [(0, len(one))]
+
+
 def near_by_force(texts):
     sets = {}
     for d, t in texts.items():
