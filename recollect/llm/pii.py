@@ -3,9 +3,10 @@
 The tagger is a bidirectional LSTM with CRF transitions, trained here in numpy from labelled spans in generated
 sentences, whose forms go beyond the patterns (bracketed or spaced numbers, obfuscated addresses, six groups of
 colons). Windows that overlap are laid over the whole text and decoded each by itself. A window without a digit, an at
-sign or the word ``at`` is passed over, as no span of it can be plausible: the result is that of all windows. Where a
-span runs into a window's edge and no other window has it whole, a wider window is decoded, up to the whole text. The
-spans of all windows and the patterns' spans are reconciled over the whole text.
+sign or the word ``at`` is passed over, as no span within it can be plausible. Where a span runs into a window's edge
+and no other window has it whole, a wider window is decoded, up to the whole text; such a search begins only from
+windows that are not passed over, which hold some part of every plausible span. The spans of all windows and the
+patterns' spans are reconciled over the whole text.
 """
 
 from __future__ import annotations
