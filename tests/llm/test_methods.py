@@ -235,7 +235,6 @@ def test_packing_as_the_library(spark, sf):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
     texts = texts_of(spark, sf)
     pieces = {}
     for r in packing.pack(table(spark, sf, "documents"), tokenizer_path("word_bpe_49k.json")).collect():
@@ -246,38 +245,56 @@ def test_packing_as_the_library(spark, sf):
         assert ids == [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
 
 
-def test_word_ids_on_odd_text():
+def test_ids_of_odd_text_as_the_library():
+    """Every character that is merged by rank, in several neighbourhoods, and random strings with others and special tokens."""
     from tokenizers import Tokenizer
 
     path = tokenizer_path("word_bpe_49k.json")
-    words = packing.words_of(open(path, "rb").read())
+    data, ranks = packing.tokenizer_file(path)
+    assert ranks is not None
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     draw = random.Random(2)
-    parts = ["'s", "'", "ll", "a", "É", "é", "́", " ", "\n", "\t", "1", "!?", "\U0001f600", "<|endoftext|>", "\x1c", "\x01", "Σ", "ΟΣ", "ß", "the"]
-    for _ in range(3000):
-        text = "".join(draw.choice(parts) for _ in range(draw.randint(0, 20)))
-        own = packing.stretches(text)
-        words.learn(set(own))
-        assert np.frombuffer(words.encode(own), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
-
-
-def test_special_strings_as_the_library(spark):
+    texts = [t for c in packing.PLAIN for t in (f"a{c}b", f"a {c} B", f"1{c}", f"{c}{c}x", f"A{c}B'S", f"{c}\u0301x {c}")]
+    odd = ["'s", "'ll", "É", "é", "́", " ", "\n", "\t", "\x0b", "!?", "\U0001f600", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "text|>", "<", "\x1c", "\x85", "\xa0", "\xad", "\x00", "Σ", "ΟΣ", "ß", "İ", "ſ", "the"]
+    texts += ["".join(draw.choice(odd if draw.random() < 0.7 else packing.PLAIN) for _ in range(draw.randint(0, 20))) for _ in range(4000)]
+    texts += ["a" * 3000, "=" * 70_000, "word " * 60_000 + "é漢" + " <|endoftext|> " + "x" * 600_000]
+    for literal in (False, True):
+        tokenizer.encode_special_tokens = literal
+        ids = packing.encoder(data, ranks, literal)
+        slow = packing.TextIds(data, None, literal)
+        for k, text in enumerate(texts):
+            want = tokenizer.encode(text, add_special_tokens=False).ids
+            assert np.frombuffer(ids(text), "<u4").tolist() == want, text[:80]
+            assert k % 20 or np.frombuffer(slow(text), "<u4").tolist() == want, text[:80]
+
+
+def test_other_tokenizers_go_through_the_library():
+    assert packing.tokenizer_file(tokenizer_path("byte_bpe_50k.json"))[1] is None
+
+
+def test_packing_against_brute_force(spark):
+    """Every column of every piece, with special tokens' strings, a null, a repeated row and a null id."""
     from tokenizers import Tokenizer
 
     path = tokenizer_path("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(path)
-    words = packing.words_of(open(path, "rb").read(), literal=False)
-    draw = random.Random(6)
-    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "text|>", "<", "|>", "a", "É", "'s", " ", "\n", "\t", "1", "!?", "\x01"]
-    texts = ["a <|endoftext|> b", *("".join(draw.choice(parts) for _ in range(draw.randint(0, 20))) for _ in range(2000))]
-    for text in texts:
-        own = packing.stretches(text)
-        words.learn(set(own))
-        assert np.frombuffer(words.encode(own), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
-    docs = spark.createDataFrame(list(enumerate(texts[:3])), "doc_id long, text string")
-    for r in packing.pack(docs, path).collect():
-        assert np.frombuffer(bytes(r.ids), "<u4").tolist() == [*tokenizer.encode(texts[r.doc_id], add_special_tokens=False).ids, 1]
+    rows = [(1, "a <|endoftext|> b"), (2, None), (3, "word, " * 3000), (3, "word, " * 3000), (None, "no id"), (4, ""), (5, "É" * 2047), (6, "x y " * 700)]
+    docs = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, at long, part long").repartition(3)
+    for window in (2048, 7):
+        got = packing.pack(docs, path, window=window).collect()
+        place, own = {}, {}
+        for r in got:
+            ids = np.frombuffer(bytes(r.ids), "<u4").tolist()
+            assert zlib.crc32(bytes(r.ids)) == r.ids_crc32 and len(ids) == r.length and r.offset + r.length <= window
+            for k, x in enumerate(ids):
+                assert place.setdefault(r.sequence_id * window + r.offset + k, x) == x
+            own.setdefault((r.doc_id, r.sequence_id * window + r.offset - r.start, r.doc_tokens), []).append((r.start, ids))
+        total = len(place)
+        assert sorted(place) == list(range(total)) == list(range(sum(r.length for r in got)))
+        assert all(r.sequence_tokens == min(window, total - r.sequence_id * window) for r in got)
+        assert all(r.padded_tokens == (r.sequence_tokens if r.sequence_tokens in (1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024, 2048) else window) for r in got)
+        texts = sorted((d if d is not None else -1, [x for _, part in sorted(p) for x in part]) for (d, _, _), p in own.items())
+        assert texts == sorted((i if i is not None else -1, [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1]) for i, t in rows)
 
 
 def test_salvage():
