@@ -1,21 +1,25 @@
-"""Near-duplicate join: all pairs of texts whose shingle sets have a Jaccard similarity of 0.8 or more, and their components.
+"""Near-duplicate join: texts whose shingle sets have a Jaccard similarity of 0.8 or more, and their components.
 
 The document by n-gram incidence matrix is multiplied with its transpose in blocks, and only where a product can
 reach its bound. By sizes alone, linked sets of sizes a and b share at least 80 % of either; so they share k of the
-first ``a - ceil(0.8 a) + k`` n-grams of each, in any order common to all sets. Columns are the n-grams of those
-prefixes, rare ones first: n-grams that many sets of a task hold are found by local counts and put last. Blocks of
-columns give overlap counts of pairs, which are accumulated over all blocks; pairs whose sizes rule a link out are
-discarded at once, and pairs with a count below k, which the sizes give, after that. The rows of the remaining
-candidates are then multiplied whole, block by block, and compared with the bound that the two sizes give.
-
-Documents with one set are one row of the matrix. Within a column of very many rows only the pairs with its first row
-are multiplied at first; then, where the links found leave its rows in several components, each row outside the
-largest is multiplied with the rows of other components. Pairs within a component need no product, so no link
-between components is lost, and no group of near copies is expanded to all its pairs. A linked pair that shares fewer
-than k of the other columns shares one of these.
+first ``a - ceil(0.8 a) + k`` n-grams of each, in any order common to all sets. Columns of these prefixes, rare n-grams
+first (those that many sets of a task hold are found by local counts and put last), tell which rows can be linked:
+pairs whose sizes rule a link out are discarded at once, and pairs that share fewer columns than the sizes ask for
+after that.
+
+The rows of those pairs are dealt to blocks of rows, neighbours to the same block. Two blocks that some pair joins
+meet in one group, to which each of their rows is sent once, and are multiplied whole: overlap counts are accumulated
+over all blocks of columns, and pairs whose count stays below the bound that their two sizes give are discarded. What
+leaves a group is a forest of the links found, not the links.
+
+Documents with one set are one row of the matrix. Of a column of very many rows only the pairs with its first row
+count at first. Where the links found leave its rows in several components, the rows outside the largest make up one
+side's blocks and all its rows the other's, and the blocks that share such a column are multiplied. Pairs within a
+component need no product, so no link between components is lost, and no group of near copies is expanded to its
+pairs. A linked pair that shares fewer than k of the other columns shares one of these.
 
 Sets are held as 64-bit hashes; two different n-grams, or two different sets, are taken for one with a chance of
-2^-64 a pair.
+about 2^-64 a pair.
 """
 
 from __future__ import annotations
@@ -40,24 +44,20 @@ HOT, STARS = 64, 24
 #: N-grams that a task counts together, bytes that it hashes together, classes that it remembers as sent.
 CHUNK_GRAMS, CHUNK_BYTES, REMEMBERED = 2_500_000, 1_000_000, 200_000
 
+#: Rows and n-grams of a block of the product.
+BLOCK_ROWS, BLOCK_GRAMS = 512, 500_000
+
 #: A count that is enough for any pair.
 _ENOUGH = 1 << 40
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
-_powers: list[np.ndarray] = []
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64, n of each at least."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, CHUNK_BYTES + 1024)
-        _powers[:] = [np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)))) for b in (_BASE, _INVERSE)]
-    return _powers[0], _powers[1]
+#: Masks of the first bytes of eight, and the length from which a word is hashed by itself.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+LONG_WORD = 512
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -66,18 +66,33 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def word_hashes(data: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each stretch of ``data``: eight bytes at a time, with a bijective mixing after each."""
+    padded = np.frombuffer(data + bytes(8), np.uint8)
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    left = end - begin
+    h = mix(left.astype(np.uint64) + _BASE)
+    live = np.flatnonzero(left < LONG_WORD)
+    at, rest = begin[live], left[live]
+    while len(live):
+        h[live] = mix(h[live] * _BASE ^ (eight[at] & _FIRST[np.minimum(rest, 8)]))
+        more = rest > 8
+        live, at, rest = live[more], at[more] + 8, rest[more] - 8
+    for k in np.flatnonzero(left >= LONG_WORD).tolist():
+        h[k] = int.from_bytes(hashlib.blake2b(data[begin[k] : end[k]], digest_size=8).digest(), "little")
+    return h
+
+
 def shingle_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
     """The sorted distinct hashes of each text's word shingles; a text with fewer words has its whole sequence as one."""
-    data = np.frombuffer(b" ".join(texts).translate(_LOWER), np.uint8)
+    joined = b" ".join(texts).translate(_LOWER)
+    data = np.frombuffer(joined, np.uint8)
     sizes = np.array([len(t) for t in texts], np.int64)
     starts_of = np.cumsum(sizes + 1) - sizes - 1
     inside = ~_BLANK[data]
     edge = np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0))
     begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    power, inverse = _power(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
-    word = mix((sums[end] - sums[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
+    word = word_hashes(joined, begin, end)
     first = np.searchsorted(begin, starts_of)
     last = np.append(first[1:], len(begin))
     grams = np.zeros(max(0, len(word) - words + 1), np.uint64)
@@ -175,15 +190,15 @@ def _survey(batches: Iterator[pa.RecordBatch], local: int) -> Iterator[pa.Record
 
 
 def _prefixes(frequent: np.ndarray, weight: np.ndarray, hot: int):
-    """Emits (gram, class, size, often, place) of the prefix of every set that the task has not sent yet.
+    """Emits (gram, class, size, often) of the prefix of every set that the task has not sent yet.
 
-    often: 1 for the first STARS of the hot n-grams, 2 for their others, 0 for all else; place: the position in the set's order.
+    often: 1 for the first STARS of the hot n-grams, 2 for their others, 0 for all else.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for _, sets in _chunks(batches):
-            grams, classes, sizes, often, places = [], [], [], [], []
+            grams, classes, sizes, often = [], [], [], []
             for s in sets:
                 if not len(s) or (c := class_of(s)) in seen:
                     continue
@@ -199,13 +214,12 @@ def _prefixes(frequent: np.ndarray, weight: np.ndarray, hot: int):
                 grams += [rare, frequent[rest]]
                 many = weight[rest] >= hot
                 often += [np.zeros(len(rare), np.int64), np.where(many, np.where(np.cumsum(many) <= STARS, 1, 2), 0)]
-                places.append(np.arange(n))
                 classes.append(np.full(n, c, np.int64))
                 sizes.append(np.full(n, len(s), np.int64))
             if len(seen) > REMEMBERED:
                 seen.clear()
             if grams:
-                yield _batch("gram class size often place", _signed(np.concatenate(grams)), *map(np.concatenate, (classes, sizes, often, places)))
+                yield _batch("gram class size often", _signed(np.concatenate(grams)), *map(np.concatenate, (classes, sizes, often)))
 
     return run
 
@@ -273,64 +287,101 @@ def _counts_batch(out: dict) -> pa.RecordBatch:
     return _batch("a b n need", a, b, n, need)
 
 
-def _pairs_batch(out: set) -> pa.RecordBatch:
-    a, b = zip(*out, strict=True)
-    return _batch("a b", a, b)
+def _shares(u: list[np.ndarray], cols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows: the entries in the sorted columns ``cols``, by column, as (column, row), and how many each column has."""
+    entries, of = np.concatenate(u), np.repeat(np.arange(len(u)), [len(x) for x in u])
+    at = np.minimum(np.searchsorted(cols, entries), len(cols) - 1)
+    here = np.flatnonzero(cols[at] == entries)
+    order = here[np.argsort(at[here], kind="stable")]
+    return at[order], of[order], np.bincount(at[order], minlength=len(cols))
+
 
+def product(u: list[np.ndarray], v: list[np.ndarray], at_once: int = 1 << 21) -> np.ndarray:
+    """Overlap counts of the rows of two blocks, accumulated over blocks of columns.
+
+    Columns that many rows of both have are multiplied as dense blocks, the others entry by entry.
+    """
+    counts = np.zeros((len(u), len(v)), np.int64)
+    cols = np.intersect1d(np.concatenate(u), np.concatenate(v)) if u and v else np.empty(0)
+    if not len(cols):
+        return counts
+    (cu, ru, nu), (cv, rv, nv) = _shares(u, cols), _shares(v, cols)
+    work = nu * nv
+    dense = work * 256 > counts.size
+    place = np.cumsum(dense) - 1
+    width = max(1, at_once // (len(u) + len(v)))
+    du, dv = dense[cu], dense[cv]
+    for k in range(0, int(dense.sum()), width):
+        sides = []
+        for rows, c, r, d in ((u, cu, ru, du), (v, cv, rv, dv)):
+            p = place[c[d]]
+            own = (p >= k) & (p < k + width)
+            side = np.zeros((len(rows), width), np.float32)
+            side[r[d][own], p[own] - k] = 1
+            sides.append(side)
+        counts += np.rint(sides[0] @ sides[1].T).astype(np.int64)
+    # every entry of u meets the entries of v in its column
+    cu, ru, first = cu[~du], ru[~du], np.cumsum(nv) - nv
+    meets = nv[cu]
+    ends = np.cumsum(meets)
+    k = 0
+    while k < len(cu):
+        last = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + at_once, "right")))
+        n = meets[k:last]
+        nth = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        flat = np.repeat(ru[k:last], n) * len(v) + rv[np.repeat(first[cu[k:last]], n) + nth]
+        counts += np.bincount(flat, minlength=counts.size).reshape(counts.shape)
+        k = last
+    return counts
+
+
+def _joined(a: list[int], b: list[int], u: list[np.ndarray], v: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """A forest (a, b) of the links between the rows u of classes a and v of classes b."""
+    sizes = [np.array([len(x) for x in side], np.int64) for side in (u, v)]
+    hits = linked(product(u, v), sizes[0][:, None], sizes[1][None, :])
+    nodes, at = np.unique(np.array([*a, *b], np.int64), return_inverse=True)
+    label = np.arange(len(nodes))
+    ends = at[len(a) :]
+    for k in np.flatnonzero(hits.any(1)).tolist():
+        met = np.unique(np.append(label[ends[hits[k]]], label[at[k]]))
+        if len(met) > 1:
+            label[np.isin(label, met)] = met[0]
+    moved = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[label[moved]], nodes[moved]
+
+
+def _multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (x, y, side, class, grams) sorted by the first three: links between the two sides of every pair of
+    blocks (x, y), or within the side of a block that meets itself, which has no other."""
+    held, sides = None, ([], [], [], [])
+
+    def done() -> Iterator[pa.RecordBatch]:
+        a, u, b, v = sides
+        if u:
+            yield _batch("a b", *(_joined(a, b, u, v) if v else _joined(a, a, u, u)))
 
-def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of pairs with both rows of the matrix, those whose overlap count reaches the bound; of these a spanning forest."""
-    trees = Forest()
     for batch in batches:
-        a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for x, y, p, q in zip(a, b, batch.column(2), batch.column(3), strict=True):
-            u, v = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
-            if linked(overlap(u, v), len(u), len(v)):
-                trees.join(x, y)
-    yield from trees.edges()
-
-
-def overlap(u: np.ndarray, v: np.ndarray, block: int = 4096) -> int:
-    """Common n-grams of two sorted rows, block by block of columns; it ends early when the bound is out of reach."""
-    if len(u) > len(v):
-        u, v = v, u
-    bound = -(-PERCENT * (len(u) + len(v)) // (100 + PERCENT))
-    common = 0
-    for k in range(0, len(u), block):
-        part = u[k : k + block]
-        at = np.searchsorted(v, part)
-        common += int((v[np.minimum(at, len(v) - 1)] == part).sum())
-        if common + len(u) - k - len(part) < bound:
-            return common
-    return common
-
-
-class Forest:
-    """Union by smallest member."""
-
-    def __init__(self):
-        self.parent: dict[int, int] = {}
-
-    def find(self, x: int) -> int:
-        root = x
-        while (up := self.parent.get(root, root)) != root:
-            root = up
-        while (up := self.parent.get(x, x)) != root:
-            self.parent[x], x = root, up
-        return root
-
-    def join(self, x: int, y: int) -> None:
-        a, b = self.find(x), self.find(y)
-        self.parent.setdefault(a, a)
-        self.parent.setdefault(b, b)
-        if a != b:
-            self.parent[max(a, b)] = min(a, b)
-
-    def edges(self) -> Iterator[pa.RecordBatch]:
-        found = [(self.find(x), x) for x in list(self.parent)]
-        found = [(r, x) for r, x in found if r != x]
-        for k in range(0, len(found), 50_000):
-            yield _pairs_batch(found[k : k + 50_000])
+        x, y, side, own = (batch.column(k).to_pylist() for k in range(4))
+        for k, grams in enumerate(batch.column(4)):
+            if (x[k], y[k]) != held:
+                yield from done()
+                held, sides = (x[k], y[k]), ([], [], [], [])
+            sides[2 * side[k]].append(own[k])
+            sides[2 * side[k] + 1].append(np.frombuffer(grams.as_py(), np.uint64))
+    yield from done()
+
+
+def _blocks(nodes: DataFrame, rows: int, grams: int) -> DataFrame:
+    """(class, block) of nodes (class, key, size): of about so many rows and n-grams, whole keys where they are small.
+
+    A key of more is split by a hash of the class. Only two totals come to the driver.
+    """
+    cuts = lambda n, w: F.greatest(F.ceil(n / rows), F.ceil(w / grams), F.lit(1)).cast("long")
+    total = nodes.agg(cuts(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).alias("n")).first().n
+    keys = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("w")).where((F.col("n") > rows // 4) | (F.col("w") > grams // 4))
+    keys = keys.select("key", cuts(F.col("n"), F.col("w")).alias("parts"))
+    split = F.xxhash64("key", F.pmod(F.xxhash64("class", F.lit(1)), "parts"))
+    return nodes.join(keys, "key", "left").select("class", F.when(F.col("parts").isNull(), F.pmod(F.xxhash64("key"), F.lit(total))).otherwise(split).alias("block"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -358,30 +409,31 @@ def components(edges: DataFrame) -> DataFrame:
         edges = following
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", column: int = COLUMN, hot: int = HOT, local: int = LOCAL) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", column: int = COLUMN, hot: int = HOT, local: int = LOCAL, block: tuple[int, int] = (BLOCK_ROWS, BLOCK_GRAMS)) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, class.
 
     Words are split at U+0020 and U+0009 to U+000D, A to Z are lower-cased. Null texts count as empty; a text without words
     has no shingles and is linked with nothing, not even with its like. Rows that repeat an id count as one document
-    each, with the id they share. An empty table gives an empty result. component_id is the smallest doc_id that links
-    lead to, the own one included; ``class`` is the same for documents with equal sets. The last three parameters
-    change how pairs are found, never which.
+    each, with the id they share. A row without an id has its n_shingles and no component, and links nothing. An empty
+    table gives an empty result; other columns are not read, whatever their names. component_id is the smallest doc_id
+    that links lead to, the own one included; ``class`` is the same for documents with equal sets. The last four
+    parameters change how pairs are found, never which.
     """
     spark = docs.sparkSession
     ship(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     survey = stage(texts.mapInArrow(trimmed(lambda batches: _survey(batches, local)), "kind long, a long, b long, c long"), "survey")
-    rows = survey.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), F.when(F.col("b") > 0, F.col("c")).alias("class"))
-
-    # frequent n-grams, the most frequent last in every set's order; the bar is such that their number is bounded
-    often = stage(survey.where("kind = 1").groupBy("a").agg(F.sum("b").alias("n")), "local-counts")
-    by_count = sorted(((r.n, r.m) for r in often.groupBy(F.least("n", F.lit(10_000)).alias("n")).agg(F.count(F.lit(1)).alias("m")).collect()), reverse=True)
-    bar, total = 10_001, 0
-    for n, m in by_count:
-        if total + m > MOST_FREQUENT:
+    rows = survey.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), F.when((F.col("b") > 0) & F.col("a").isNotNull(), F.col("c")).alias("class"))
+    texts = texts.where("doc_id is not null")
+
+    # frequent n-grams, the most frequent last in every set's order; grades of counts give a bar that bounds their number
+    often = stage(survey.where("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).withColumn("grade", F.floor(F.log2("n") * 64)), "local-counts")
+    bar, total = None, 0
+    for r in sorted(often.where(F.col("n") >= FREQUENT).groupBy("grade").count().collect(), reverse=True):
+        if total + r["count"] > MOST_FREQUENT:
             break
-        bar, total = n, total + m
-    often = often.where(F.col("n") >= max(bar, FREQUENT)).toArrow()
+        bar, total = r.grade, total + r["count"]
+    often = often.where((F.col("n") >= FREQUENT) & (F.col("grade") >= (F.lit(None) if bar is None else F.lit(bar)))).select("a", "n").toArrow()
     grams, weight = (often.column(k).to_numpy() for k in (0, 1))
     order = np.argsort(grams.view(np.uint64))
     held = spark.sparkContext.broadcast((grams.view(np.uint64)[order], weight[order]))
@@ -389,13 +441,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def prefixes(batches):
         yield from _prefixes(*held.value, hot)(batches)
 
-    columns = stage(texts.mapInArrow(trimmed(prefixes), "gram long, class long, size long, often long, place long"), "prefixes")
+    columns = stage(texts.mapInArrow(trimmed(prefixes), "gram long, class long, size long, often long"), "prefixes")
     # every column has its own order of rows, so that its first row is another one than its neighbour's
     draw = F.xxhash64("class", "gram")
-    rare = columns.where("often = 0").select("gram", "class", "size", "place")
-    first = rare.repartition("gram").sortWithinPartitions("gram", draw).select("gram", "class", "size").mapInArrow(trimmed(lambda batches: _candidates(batches, column)), "a long, b long, n long, need long")
+    rare = columns.where("often = 0").select("gram", "class", "size")
+    first = rare.repartition("gram").sortWithinPartitions("gram", draw).mapInArrow(trimmed(lambda batches: _candidates(batches, column)), "a long, b long, n long, need long")
     # a frequent column's rows meet its first row where they are; there are at most MOST_FREQUENT first rows
-    common = columns.where("often > 0").select("gram", "class", "size", "place", "often")
+    common = columns.where("often > 0").select("gram", "class", "size", "often")
     pivots = common.groupBy("gram").agg(F.min(F.struct(draw.alias("draw"), "class", "size")).alias("p")).select("gram", "p.class", "p.size")
     allowed = lambda x, y: 100 * F.least(x, y) >= PERCENT * F.greatest(x, y)
     second = common.where("often = 1").alias("c").join(pivots.alias("p"), "gram").where((F.col("c.class") != F.col("p.class")) & allowed(F.col("c.size"), F.col("p.size")))
@@ -407,13 +459,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # which columns these are, is told by a bounded list of buckets, so that the others need no shuffle
     bucket = F.pmod(F.xxhash64("gram"), F.lit(ID_BUCKETS)).alias("bucket")
     perhaps = rare.withColumn("bucket", bucket).join(F.broadcast(large.select(bucket).distinct()), "bucket", "left_semi").drop("bucket")
-    dense = stage(common.drop("often").unionByName(perhaps.join(large, "gram", "left_semi")), "dense-columns")
+    dense = stage(common.drop("often").unionByName(perhaps.join(large, "gram", "left_semi")).distinct(), "dense-columns")
 
     # the rows of candidates, whole
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).unionByName(dense.select("class")).distinct()
-    reps = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_docs"))
+    hashed = lambda c: F.xxhash64(c)
+    met = pairs.select(F.col("a").alias("class"), F.least(hashed("a"), hashed("b")).alias("key")).unionByName(pairs.select(F.col("b").alias("class"), F.least(hashed("a"), hashed("b")).alias("key")))
+    met = met.unionByName(dense.select("class", hashed("class").alias("key"))).groupBy("class").agg(F.min("key").alias("key"))
+    reps = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_docs"), F.min("n_shingles").alias("size"))
     reps = stage(reps, "classes")
-    wanted = stage(reps.join(wanted, "class", "left_semi").select("class", "doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(ID_BUCKETS)).alias("bucket")), "wanted")
+    wanted = stage(reps.join(met, "class").select("class", "key", "size", "doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(ID_BUCKETS)).alias("bucket")), "wanted")
     buckets = wanted.select("bucket").distinct()  # ID_BUCKETS rows at most
 
     def whole(batches):
@@ -426,28 +480,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         near = near.dropDuplicates(["doc_id", "text"])
     matrix = stage(near.mapInArrow(trimmed(whole), "class long, grams binary"), "rows")
 
-    def multiplied(of: DataFrame, name: str) -> DataFrame:
-        left, right = (matrix.select(F.col("class").alias(k), F.col("grams").alias(f"g{k}")) for k in "ab")
-        both = of.join(left, "a").join(right, "b").select("a", "b", "ga", "gb")
-        return stage(both.mapInArrow(trimmed(_products), "a long, b long"), name)
-
-    edges = multiplied(pairs, "links")
+    def multiplied(sides: DataFrame, name: str) -> DataFrame:
+        """Links of (x, y, side, class): rows of the sides of pairs of blocks."""
+        groups = sides.join(matrix, "class").select("x", "y", "side", "class", "grams").repartition("x", "y").sortWithinPartitions("x", "y", "side")
+        return stage(groups.mapInArrow(trimmed(_multiply), "a long, b long"), name)
+
+    # the rows of a pair lie near each other: in blocks by the least neighbour
+    placed = stage(_blocks(wanted, *block), "blocks")
+    at = pairs.join(placed.withColumnsRenamed({"class": "a", "block": "x"}), "a").join(placed.withColumnsRenamed({"class": "b", "block": "y"}), "b")
+    ends = F.when(F.col("x") == F.col("y"), F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("class")), F.struct(F.lit(0).alias("side"), F.col("b").alias("class"))))
+    ends = ends.otherwise(F.array(F.struct((F.col("x") > F.col("y")).cast("int").alias("side"), F.col("a").alias("class")), F.struct((F.col("x") < F.col("y")).cast("int").alias("side"), F.col("b").alias("class"))))
+    sides = at.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), F.explode(ends).alias("e")).select("x", "y", "e.side", "e.class").distinct()
+    edges = multiplied(sides, "links")
     if not dense.isEmpty():
         roots = components(edges)
-        placed = dense.join(roots.withColumnRenamed("node", "class"), "class", "left").select("gram", "class", "size", "place", F.coalesce("root", "class").alias("root"))
-        mixed = placed.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("gram")
-        placed = stage(placed.join(mixed, "gram", "left_semi"), "mixed-columns")
-        main = placed.groupBy("gram", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("gram").agg(F.max(F.struct("n", "root")).alias("m")).select("gram", F.col("m.root").alias("main"))
-        others = stage(placed.join(main, "gram").where("root <> main").drop("main"), "other-rows")
-        x, y = others.alias("x"), placed.alias("y")
-        # before its first dense column a pair shares fewer than k others, so what is left must do for the rest of its bound
-        sizes = F.col("x.size") + F.col("y.size")
-        left = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
-        need = F.least(*(4 + F.floor(F.col(f"{t}.size") / 25) for t in "xy"))
-        reach = (100 + PERCENT) * (left + need - 1) >= PERCENT * sizes
-        cross = x.join(y, "gram").where((F.col("x.root") != F.col("y.root")) & allowed(F.col("x.size"), F.col("y.size")) & reach)
-        cross = stage(cross.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct(), "cross-pairs")
-        edges = edges.unionByName(multiplied(cross, "cross-links"))
+        own = dense.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+        mixed = own.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("gram")
+        own = stage(own.join(mixed, "gram", "left_semi"), "mixed-columns")
+        main = own.groupBy("gram", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("gram").agg(F.max(F.struct("n", "root")).alias("m")).select("gram", F.col("m.root").alias("main"))
+        others = stage(own.join(main, "gram").where("root <> main").select("gram", "class", "size"), "other-rows")
+        # each side of the columns in blocks of its own, rows with the same first column near each other
+        x, y = (t.join(_blocks(t.groupBy("class").agg(F.min(F.xxhash64("gram")).alias("key"), F.first("size").alias("size")), *block), "class") for t in (others, own))
+        x, y = stage(x, "left-blocks"), stage(y, "right-blocks")
+        # a row goes to every block that has one of its columns on the other side
+        there = lambda t: t.groupBy("gram").agg(F.sort_array(F.collect_set("block")).alias("there"))
+        meets = lambda t, other: t.join(there(other), "gram").groupBy("class", "block").agg(F.explode(F.array_distinct(F.flatten(F.collect_set("there")))).alias("other"))
+        sides = meets(x, y).select(F.col("block").alias("x"), F.col("other").alias("y"), F.lit(0).alias("side"), "class")
+        sides = sides.unionByName(meets(y, x).select(F.col("other").alias("x"), F.col("block").alias("y"), F.lit(1).alias("side"), "class"))
+        edges = edges.unionByName(multiplied(sides, "cross-links"))
     roots = components(edges)
 
     # components of documents, for classes that have a link or a copy

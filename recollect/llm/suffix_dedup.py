@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .jaccard import _power, mix
+from .jaccard import mix
 from .staging import ship, trimmed
 
 LENGTH, GRAM = 100, 32
@@ -38,6 +38,19 @@ _PLACE = np.uint64((1 << _BITS) - 1)
 _STEP = (1 << _BITS) - 2 * LENGTH
 
 
+_BASE = 0x9E3779B97F4A7C15
+_powers: list[np.ndarray] = []
+
+
+def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2^64, n of each at least."""
+    if not _powers or len(_powers[0]) < n:
+        size = max(n, 1 << 18)
+        both = (np.uint64(b) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
+        _powers[:] = [np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)))) for b in both]
+    return _powers[0], _powers[1]
+
+
 def gram_hashes(data: np.ndarray) -> np.ndarray:
     power, inverse = _power(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)

@@ -350,9 +350,9 @@ def near_by_force(texts):
     return {d: (len(s), find(d)) for d, s in sets.items()}
 
 
-@pytest.mark.parametrize(("column", "hot"), [(32, 64), (2, 64), (32, 1)])
-def test_near_copies_against_brute_force(spark, column, hot):
-    """Also with most columns too large, and with most n-grams hot."""
+@pytest.mark.parametrize(("column", "hot", "block"), [(32, 64, (512, 500_000)), (2, 64, (3, 200)), (32, 1, (4, 10_000)), (2, 1, (512, 500_000))])
+def test_near_copies_against_brute_force(spark, column, hot, block):
+    """Also with most columns too large, with most n-grams hot, and with small blocks."""
     draw = random.Random(column)
     words = [f"w{i}" for i in range(60)]
     bases = [[draw.choice(words) for _ in range(draw.choice([3, 6, 30, 60, 120]))] for _ in range(12)]
@@ -366,10 +366,63 @@ def test_near_copies_against_brute_force(spark, column, hot):
     texts |= {1000: "", 1001: " ", 1002: "W1 w2", 1003: "w1\tW2"}
     want = near_by_force(texts)
     rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(rows, column=column, hot=hot, local=1).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(rows, column=column, hot=hot, local=1, block=block).collect()}
     assert got == want
 
 
+def test_a_large_family_of_near_copies(spark):
+    """Copies on either side of the bound, whose links to the first rows of columns leave many components."""
+    draw = random.Random(8)
+    words = [f"v{i}" for i in range(4000)]
+    base = [draw.choice(words) for _ in range(100)]
+    texts = {}
+    for d in range(400):
+        own = list(base)
+        for _ in range(draw.choice([1, 2, 3, 4])):
+            own[draw.randrange(len(own))] = draw.choice(words)
+        texts[d] = " ".join(own)
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    for block in ((512, 500_000), (50, 3000)):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(rows, block=block).collect()}
+        assert got == near_by_force(texts)
+
+
+def test_products_of_blocks():
+    draw = np.random.default_rng(0)
+    for _ in range(10):
+        base = draw.integers(0, 1 << 63, 300, dtype=np.uint64)
+        row = lambda: np.unique(np.concatenate((draw.choice(base, draw.integers(1, 300), replace=False), draw.integers(0, 1000, draw.integers(0, 100), dtype=np.uint64))))  # noqa: B023, E731
+        u, v = ([row() for _ in range(draw.integers(1, 40))] for _ in range(2))
+        want = [[len(np.intersect1d(a, b)) for b in v] for a in u]
+        for at_once in (1 << 21, 500):
+            assert jaccard.product(u, v, at_once).tolist() == want
+
+
+def test_word_hashes():
+    """Equal words have equal hashes wherever they lie, and structured words no equal ones."""
+    turned = str.maketrans("ab", "ba")
+    words = set()
+    for start in "ab":
+        w = start
+        for _ in range(12):
+            w += w.translate(turned)
+            words.add(w)
+    words |= {"x" * k for k in range(1, 1200)} | {"x" * k + "y" for k in range(600)} | {f"w{i}" for i in range(5000)}
+    words = sorted(words)
+    sets = jaccard.shingle_sets([w.encode() for w in words])
+    assert len({int(s[0]) for s in sets}) == len(words)
+    again = jaccard.shingle_sets([f"  {w.upper()}\n".encode() for w in words])
+    assert all((a == b).all() for a, b in zip(sets, again, strict=True))
+
+
+def test_near_copies_without_ids(spark):
+    rows = [(None, "a b c d e f"), (3, "a b c d e f"), (2, "A b c d e  f"), (None, None), (None, "a b c d e f")]
+    got = sorted((r.doc_id or -1, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.doc_id is not None)
+    assert got == [(2, 2, 2), (3, 2, 2)]
+    lone = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id is null").collect()
+    assert sorted(r.n_shingles for r in lone) == [0, 2, 2] and all(r.component_id is None for r in lone)
+
+
 def test_quality_gradients_and_held_out_accuracy(spark, sf):
     draw = np.random.default_rng(0)
     model = quality.AttentionModel()
