@@ -45,7 +45,7 @@ HOT, STARS = 64, 24
 CHUNK_GRAMS, CHUNK_BYTES, REMEMBERED = 2_500_000, 1_000_000, 200_000
 
 #: Rows and n-grams of a block of the product.
-BLOCK_ROWS, BLOCK_GRAMS = 512, 500_000
+BLOCK_ROWS, BLOCK_GRAMS = 1024, 1_000_000
 
 #: A count that is enough for any pair.
 _ENOUGH = 1 << 40

@@ -10,6 +10,7 @@ from __future__ import annotations
 import random
 import re
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .spans import Span, in_order, joined, sha256
-from .staging import ship
+from .staging import ship, trimmed
 
 KINDS = ("assign", "access", "hex", "random")
 BASE_KINDS = KINDS[:3]
@@ -25,7 +26,8 @@ BASE_KINDS = KINDS[:3]
 ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-#: Tokens that the models judge.
+#: Tokens that the models judge, and their least length: shorter ones are too short for a ratio to tell.
+SHORTEST = 20
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 SAMPLES, SEED = 4000, 20240501
 
@@ -105,8 +107,7 @@ class RandomnessModel:
         return float(self.ratio[x[:-1], x[1:]].mean()) if len(x) > 1 else 0.0
 
     def is_random(self, token: str) -> bool:
-        """Random by the ratio, with a digit and a letter: words of any language and plain numbers are no secrets."""
-        return any(c.isdigit() for c in token) and any(c.isalpha() for c in token) and self.score(token) > self.threshold
+        return self.score(token) > self.threshold
 
 
 @lru_cache(maxsize=1)
@@ -115,15 +116,32 @@ def model() -> RandomnessModel:
     return RandomnessModel(labelled_samples())
 
 
+def _apart(spans: list[Span], a: int, b: int, at: int) -> tuple[list[tuple[int, int]], int]:
+    """The parts of a to b that no span touches, of spans by start from place ``at`` on; and the place for later ones."""
+    out = []
+    while at < len(spans) and spans[at][2] <= a:
+        at += 1
+    k = at
+    while k < len(spans) and spans[k][1] < b:
+        if spans[k][1] > a:
+            out.append((a, spans[k][1]))
+        a = max(a, spans[k][2])
+        k += 1
+    if a < b:
+        out.append((a, b))
+    return out, at
+
+
 def find_secrets(text: str) -> tuple[list[Span], list[Span]]:
-    """The base spans and all spans of a text; the models judge tokens that no base span touches."""
+    """The base spans and all spans of a text, in one sweep; the models judge what base spans leave of tokens."""
     base = in_order(base_spans(text), KINDS)
     more: list[Span] = []
-    judge = model()
+    judge, at = model(), 0
+    # of spans that hold others the inner ones say nothing
+    outer = [s for k, s in enumerate(base) if not k or s[2] > max_end[k - 1]] if (max_end := list(accumulate((s[2] for s in base), max))) else []
     for m in TOKEN.finditer(text):
-        a, b = m.span()
-        if not any(s < b and a < e for _, s, e in base) and judge.is_random(m.group()):
-            more.append(("random", a, b))
+        parts, at = _apart(outer, *m.span(), at)
+        more += [("random", a, b) for a, b in parts if b - a >= SHORTEST and judge.is_random(text[a:b])]
     return base, in_order(base + more, KINDS) if more else base
 
 
@@ -131,7 +149,8 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Per row: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random.
 
     Positions are code points, ends exclusive; spans go by start, then kind. Null texts count as empty and have no
-    spans. Rows are independent: repeated rows repeat their result, an empty table gives an empty one.
+    spans. Rows are independent: repeated rows repeat their result, null ids stay, an empty table gives an empty one, and
+    other columns are not read, whatever their names.
     """
     ship(docs.sparkSession)
 
@@ -147,7 +166,7 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if n in ("base_sha256", "spans") else pa.int64()) for n, c in zip(names, columns, strict=True)], names=names)
 
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return plain.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long")
+    return plain.mapInArrow(trimmed(run), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long")
 
 
 MASK = "[secret]"
@@ -164,7 +183,11 @@ def masked(text: str) -> str:
 
 
 def mask_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """All rows and columns of ``docs``, secrets in ``text_col`` masked; null stays null. Its length in n_chars, if there, follows."""
+    """All rows and columns of ``docs``, secrets in ``text_col`` masked. Its length in n_chars, if there, follows.
+
+    A null or empty text stays as it is; every row, repeated or without an id, is masked by itself; an empty table stays
+    empty. Other columns, whatever their names, are passed on.
+    """
     ship(docs.sparkSession)
     place = docs.columns.index(text_col)
 
@@ -173,5 +196,5 @@ def mask_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
             texts = [None if t is None else masked(t) for t in (x.as_py() for x in batch.column(place))]
             yield batch.set_column(place, batch.schema.field(place), pa.array(texts, batch.schema.field(place).type))
 
-    done = docs.mapInArrow(run, docs.schema)
+    done = docs.mapInArrow(trimmed(run), docs.schema)
     return done.withColumn("n_chars", F.when(F.col(text_col).isNull(), F.col("n_chars")).otherwise(F.length(text_col)).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done

@@ -1,5 +1,6 @@
 """Operators against brute force, libraries and held-out labels."""
 
+import hashlib
 import itertools
 import random
 import re
@@ -206,6 +207,41 @@ def test_randomness_on_held_out_samples():
     assert sum(judge.is_random(t) for t, y in held if not y) < 0.005 * 1500
 
 
+def secrets_by_force(text):
+    """Kinds, starts and ends: the patterns plainly, and the models on every stretch of a token that no pattern touches."""
+    base = [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m.group(2)) >= 6]
+    base += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m.group()) >= 20]
+    base += [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", text) if len(m.group()) >= 24]
+    covered = bytearray(len(text))
+    for _, a, b in base:
+        covered[a:b] = b"\1" * (b - a)
+    judge, more = secret_scan.model(), []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+        for part in re.finditer(b"\0{20,}", bytes(covered[m.start() : m.end()])):
+            a, b = m.start() + part.start(), m.start() + part.end()
+            if judge.is_random(text[a:b]):
+                more.append(("random", a, b))
+    order = ["assign", "access", "hex", "random"]
+    return [sorted(found, key=lambda x: (x[1], order.index(x[0]))) for found in (base, base + more)]
+
+
+def test_secrets_against_brute_force(spark, sf):
+    """Every column, on documents and on strings of all that matters."""
+    draw = random.Random(3)
+    parts = ["password", "=", ":", "token=", "AKIA", "ABCDEF0123456789", "0123456789abcdef", " ", "/", "_", "Xk3", "qZ81mN0pLw", "hello", "\n", '"', "é", "\x00"]
+    texts = ["".join(draw.choice(parts) for _ in range(draw.randint(0, 30))) for _ in range(1500)] + list(texts_of(spark, sf).values())
+    texts += [("deadbeef" * 4 + " password=abcdef0123 " + "qZ81mN0pLwXk3hT7" * 2 + " ") * 3000, None, "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in secret_scan.secret_spans(rows).collect()}
+    assert len(got) == len(texts)
+    for k, text in enumerate(texts):
+        base, every = ([",".join(f"{x}:{a}:{b}" for x, a, b in found), found] for found in secrets_by_force(text or ""))
+        r = got[k]
+        assert r.base_sha256 == hashlib.sha256(base[0].encode()).hexdigest() and r.spans == every[0]
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(x[0] == kind for x in base[1]) for kind in ("assign", "access", "hex"))
+        assert r.n_random == len(every[1]) - len(base[1])
+
+
 def test_top_k_against_brute_force(spark):
     draw = np.random.default_rng(1)
     m = draw.standard_normal((3000, 16)) * draw.gamma(2, size=(3000, 1))
