@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -176,14 +177,21 @@ class Engine:
     def get(self, id_: int):
         return self.tables()["memories"].where((F.col("id") == id_) & F.col("valid_to").isNull()).first()
 
-    def recall(self, queries: DataFrame, sessions_of: DataFrame | None = None, full: bool = False, now=None) -> DataFrame:
+    def recall(self, queries: DataFrame, sessions_of: DataFrame | None = None, full: bool = False, now=None, limit: int | None = None, budget: int | None = None) -> DataFrame:
         """Hits of a batch of queries (query_id, text, and perhaps type, tags, embedding), with their rows' fields. Nothing is
-        learned; see learn(). Blank texts give nothing here; by_tags() looks rows up by tags alone."""
+        learned; see learn(). A query with a blank text and tags gives the latest rows with these tags; without either,
+        nothing. ``limit`` and ``budget`` stand in for the settings' for this batch; ``sessions_of`` (query_id, session_id)
+        names the queries' sessions."""
         t = self.tables()
+        config = replace(self.config, **{k: v for k, v in (("recall_limit", limit), ("recall_budget", budget)) if v is not None})
         if self.embedder and "embedding" not in queries.columns:
             queries = vectors.embed(queries, self.embedder)
-        hits = recall.recall(t["memories"], t["edges"], queries, t["session_members"], sessions_of, self.config, now=now)
-        return recall.hydrate(hits, t["memories"], queries, self.config, full)
+        blank = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")) == ""
+        hits = recall.recall(t["memories"], t["edges"], queries.where(~blank), t["session_members"], sessions_of, config, now=now)
+        if "tags" in queries.columns:
+            tagged = recall.recall_by_tags(t["memories"], queries.where(blank), config.recall_limit)
+            hits = hits.unionByName(tagged.select("*", F.lit(None).cast("double").alias("activation"), F.lit(False).alias("is_seed"), F.lit(False).alias("in_head"), F.lit(None).cast(recall.VIA).alias("via")))
+        return recall.hydrate(hits, t["memories"], queries, config, full)
 
     def learn(self, hits: DataFrame, sessions_of: DataFrame, now=None) -> None:
         """Let sessions (query_id, session_id) learn from hits of recall(): their activation, and edges of use."""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import phrases, tokens
+from ..sources.tables import cut_lineage
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 COLUMNS = ("title", "body", "tags")
@@ -20,24 +21,26 @@ def postings(memories: DataFrame) -> DataFrame:
 def bm25(memories: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, id, score) of the rows in which every phrase of a query occurs, whatever their validity.
 
-    queries: query_id, text. Texts are tokenised once; of a row's tokens only those of some query leave it, so what is
-    shuffled grows with the matches and not with the table.
+    queries: query_id, text. The table is read and tokenised once, to a row's length and those of its tokens that some
+    query has; all else works on what that pass wrote, which grows with the rows and the matches, not with the texts.
     """
     asked = queries.select("query_id", F.posexplode(phrases(F.col("text"))).alias("phrase", "terms"))
     terms = asked.select("query_id", "phrase", F.size("terms").alias("n_terms"), F.posexplode("terms").alias("k", "term"))
-    fields = postings(memories)
-    lengths = fields.groupBy("id").agg(F.sum(F.size("tokens")).cast("double").alias("length"))
-    corpus = lengths.agg(F.count(F.lit(1)).cast("double").alias("n_rows"), F.avg("length").alias("mean_length"))
-    wanted = terms.agg(F.collect_set("term").alias("wanted"))  # one row: the words of a batch of queries
-    places = fields.join(F.broadcast(wanted)).select("id", "field", F.explode(F.filter(F.transform("tokens", lambda t, i: F.struct(t.alias("term"), i.alias("pos"))), lambda s: F.array_contains("wanted", s["term"]))).alias("s")).select("id", "field", "s.term", "s.pos")
-    hits = places.join(F.broadcast(terms), "term").select("query_id", "phrase", "n_terms", "id", "field", (F.col("pos") - F.col("k")).alias("start"), "k")
-    found = hits.groupBy("query_id", "phrase", "n_terms", "id", "field", "start").agg(F.countDistinct("k").alias("met")).where("met = n_terms")
-    counts = found.groupBy("query_id", "phrase", "id").agg(F.count(F.lit(1)).cast("double").alias("f"))
+    wanted = terms.select(F.collect_set("term").alias("wanted"))  # one row: the words of a batch of queries
+    lists = [tokens(F.array_join("tags", ",") if c == "tags" else F.col(c)).alias(c) for c in COLUMNS]
+    hits = lambda c: F.filter(F.transform(c, lambda t, i: F.struct(F.lit(c).alias("field"), t.alias("term"), i.alias("pos"))), lambda s: F.array_contains("wanted", s["term"]))
+    length = sum((F.size(c) for c in COLUMNS), F.lit(0)).cast("double")
+    rows = cut_lineage(memories.select("id", *lists).join(F.broadcast(wanted)).select("id", length.alias("length"), F.concat(*map(hits, COLUMNS)).alias("hits")), "hits")
+    corpus = rows.agg(F.count(F.lit(1)).cast("double").alias("n_rows"), F.avg("length").alias("mean_length"))
+    places = rows.where(F.size("hits") > 0).select("id", "length", F.explode("hits").alias("s")).select("id", "length", "s.field", "s.term", "s.pos")
+    starts = places.join(F.broadcast(terms), "term").select("query_id", "phrase", "n_terms", "id", "length", "field", (F.col("pos") - F.col("k")).alias("start"), "k")
+    found = starts.groupBy("query_id", "phrase", "n_terms", "id", "length", "field", "start").agg(F.countDistinct("k").alias("met")).where("met = n_terms")
+    counts = cut_lineage(found.groupBy("query_id", "phrase", "id", "length").agg(F.count(F.lit(1)).cast("double").alias("f")), "counts")
     per_phrase = counts.groupBy("query_id", "phrase").agg(F.count(F.lit(1)).cast("double").alias("n_with"))
     idf = F.log((F.col("n_rows") - F.col("n_with") + 0.5) / (F.col("n_with") + 0.5))
     weights = per_phrase.join(F.broadcast(corpus)).select("query_id", "phrase", F.when(idf <= 0, LEAST_IDF).otherwise(idf).alias("idf"), "mean_length")
     part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-    scored = counts.join(F.broadcast(weights), ["query_id", "phrase"]).join(lengths, "id").groupBy("query_id", "id").agg(F.sum(part).alias("score"), F.count(F.lit(1)).alias("n"))
+    scored = counts.join(F.broadcast(weights), ["query_id", "phrase"]).groupBy("query_id", "id").agg(F.sum(part).alias("score"), F.count(F.lit(1)).alias("n"))
     needed = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("needed"))
     return scored.join(F.broadcast(needed), "query_id").where("n = needed").select("query_id", "id", "score")
 

@@ -35,11 +35,10 @@ def recency(seeds: DataFrame, memories: DataFrame) -> DataFrame:
 
 def seed_scores(lists: list[DataFrame], memories: DataFrame, config: EngineConfig, now=None) -> DataFrame:
     """(query_id, id, score): fused ranks, plus the recency of the fused rows, and then decay if a half-life is set."""
-    base = rrf_scores(lists, config.rrf_k)
-    late = recency(base, memories).select("query_id", "id", (reciprocal_rank(F.col("rank"), config.rrf_k) * config.recency_weight).alias("late"))
-    out = base.join(late, ["query_id", "id"]).select("query_id", "id", (F.col("score") + F.col("late")).alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("updated_at"), F.desc("id"))
+    base = rrf_scores(lists, config.rrf_k).join(memories.select("id", "updated_at"), "id").withColumn("late", F.row_number().over(order))
+    score = F.col("score") + reciprocal_rank(F.col("late"), config.rrf_k) * config.recency_weight
     if config.decay_half_life_days:
-        then = memories.select("id", "updated_at")
         now = F.current_timestamp() if now is None else now
-        out = out.join(then, "id").select("query_id", "id", (F.col("score") * decay_factor(age_days(F.col("updated_at"), now), config.decay_half_life_days)).alias("score"))
-    return out
+        score = score * decay_factor(age_days(F.col("updated_at"), now), config.decay_half_life_days)
+    return base.select("query_id", "id", score.alias("score"))

@@ -54,14 +54,13 @@ def _blend(kind: Column, weight: Column) -> Column:
     return reduce(lambda c, k: c.when(kind == k, weight * KIND_WEIGHT[k]), KINDS[1:], F.when(kind == KINDS[0], weight * KIND_WEIGHT[KINDS[0]]))
 
 
-def neighbours(edges: DataFrame, memories: DataFrame, type_: str | None = None) -> DataFrame:
-    """(id, other, weight, kind): blended weight over all kinds and the kind that gives most of it, of pairs whose
-    other end is current and, if asked, of a type."""
-    valid = memories.where("valid_to is null")
-    valid = (valid.where(F.col("type") == type_) if type_ else valid).select(F.col("id").alias("other"))
-    own = symmetric(edges).join(valid, "other", "left_semi").withColumn("b", _blend(F.col("kind"), F.col("weight")))
+def neighbours(edges: DataFrame, memories: DataFrame) -> DataFrame:
+    """(id, other, weight, kind, type): blended weight over all kinds and the kind that gives most of it, of pairs whose
+    other end is current, and the other end's type."""
+    valid = memories.where("valid_to is null").select(F.col("id").alias("other"), "type")
+    own = symmetric(edges).join(valid, "other").withColumn("b", _blend(F.col("kind"), F.col("weight")))
     place = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
-    return own.groupBy("id", "other").agg(F.sum("b").alias("weight"), F.max_by("kind", F.struct("b", -place)).alias("kind")).where("weight > 0")
+    return own.groupBy("id", "other").agg(F.sum("b").alias("weight"), F.max_by("kind", F.struct("b", -place)).alias("kind"), F.first("type").alias("type")).where("weight > 0")
 
 
 def degrees(edges: DataFrame, memories: DataFrame) -> DataFrame:
@@ -76,33 +75,46 @@ def degrees(edges: DataFrame, memories: DataFrame) -> DataFrame:
 RECEIPT = "struct<`from`: bigint, kind: string, w: double, hops: int>"
 
 
-def spread(activation: DataFrame, edges: DataFrame, memories: DataFrame, config: EngineConfig = EngineConfig(), budget: int | None = None, type_: str | None = None) -> DataFrame:
+def spread(activation: DataFrame, edges: DataFrame, memories: DataFrame, config: EngineConfig = EngineConfig(), budget: int | None = None, types: DataFrame | None = None) -> DataFrame:
     """(query_id, id, activation, depth, is_seed, receipt) after at most ``budget`` expansions of each query.
 
-    activation: (query_id, id, activation). All queries go in lockstep: in each round the node of each that has most
-    activation and has not fired, the smaller id on ties, sends ``activation * weight * hop_decay`` to its
-    neighbours. A node that was not there at first keeps a receipt of the greatest transmission it got. Queries
-    without such a node drop out. Every third round is written, so that plans stay small.
+    activation: (query_id, id, activation); types: (query_id, type), null for any: a query of a type reaches rows of
+    that type only. All queries go in lockstep: in each round the node of each that has most activation and has not
+    fired, the smaller id on ties, sends ``activation * weight * hop_decay`` to its neighbours. A node that was not
+    there at first keeps a receipt of the greatest transmission it got. Queries without such a node drop out.
+
+    A round reads its state once: rows that fire are joined with their neighbours, all others pass, and both are summed
+    by node. Every fourth round is written, so that plans stay small.
     """
     budget = config.recall_budget if budget is None else budget
-    state = activation.select("query_id", "id", "activation", F.lit(0).alias("depth"), F.lit(False).alias("fired"), F.lit(True).alias("is_seed"), F.lit(0.0).alias("best"), F.lit(None).cast(RECEIPT).alias("receipt"))
+    if types is None:
+        start = activation.withColumn("wanted", F.lit(None).cast("string"))
+    else:
+        start = activation.join(types.select("query_id", F.col("type").cast("string").alias("wanted")), "query_id", "left")
+    state = start.select("query_id", "wanted", "id", "activation", F.lit(0).alias("depth"), F.lit(False).alias("fired"), F.lit(True).alias("is_seed"), F.lit(0.0).alias("best"), F.lit(None).cast(RECEIPT).alias("receipt"))
     if budget > 0:
-        around = cut_lineage(neighbours(edges, memories, type_), "neighbours")
-    order = Window.partitionBy("query_id").orderBy(F.desc("activation"), "id")
+        around = cut_lineage(neighbours(edges, memories), "neighbours").select(F.col("id").alias("from"), "other", "weight", "kind", "type")
+    ready = (~F.col("fired")) & (F.col("activation") >= config.epsilon)
+    order = Window.partitionBy("query_id").orderBy(ready.desc(), F.desc("activation"), "id")
+    sent = F.col("activation") * F.col("weight") * config.hop_decay
     for step in range(max(0, budget)):
-        picked = state.where((~F.col("fired")) & (F.col("activation") >= config.epsilon)).withColumn("place", F.row_number().over(order)).where("place = 1").select("query_id", F.col("id").alias("from"), F.col("activation").alias("a"), F.col("depth").alias("d"))
-        sent = picked.join(around, picked["from"] == around["id"]).select("query_id", F.col("other").alias("id"), (F.col("a") * F.col("weight") * config.hop_decay).alias("t"), "from", "kind", F.round("weight", 3).alias("w"), (F.col("d") + 1).alias("d")).where(F.col("t") >= config.epsilon)
-        fires = picked.select("query_id", F.col("from").alias("id"), F.lit(True).alias("fires"))
-        joined = state.join(sent, ["query_id", "id"], "full").join(fires, ["query_id", "id"], "left")
-        depth = F.least(F.coalesce("depth", "d"), F.coalesce("d", "depth"))
-        better = F.col("t").isNotNull() & ~F.coalesce("is_seed", F.lit(False)) & (F.col("t") > F.coalesce("best", F.lit(0.0)))
-        state = joined.select(
-            "query_id", "id", (F.coalesce("activation", F.lit(0.0)) + F.coalesce("t", F.lit(0.0))).alias("activation"), depth.alias("depth"),
-            (F.coalesce("fired", F.lit(False)) | F.coalesce("fires", F.lit(False))).alias("fired"), F.coalesce("is_seed", F.lit(False)).alias("is_seed"),
-            F.when(better, F.col("t")).otherwise(F.coalesce("best", F.lit(0.0))).alias("best"),
-            F.when(better, F.struct(F.col("from"), F.col("kind"), F.col("w"), depth.alias("hops")).cast(RECEIPT)).otherwise(F.col("receipt")).alias("receipt"),
+        marked = state.withColumn("fires", ready & (F.row_number().over(order) == 1))
+        met = marked.join(around, (F.when(F.col("fires"), F.col("id")) == F.col("from")) & (F.col("wanted").isNull() | (F.col("wanted") == F.col("type"))), "left")
+        none = F.lit(None)
+        keeps = F.struct("id", F.col("activation").alias("a"), "depth", (F.col("fired") | F.col("fires")).alias("fired"), "is_seed", "best", "receipt", none.cast("double").alias("t"), none.cast(RECEIPT).alias("told"))
+        told = F.struct(F.col("id").alias("from"), "kind", F.round("weight", 3).alias("w"), (F.col("depth") + 1).alias("hops")).cast(RECEIPT)
+        sends = F.struct(F.col("other").alias("id"), none.cast("double").alias("a"), (F.col("depth") + 1).alias("depth"), F.lit(False).alias("fired"), F.lit(False).alias("is_seed"), F.lit(0.0).alias("best"), none.cast(RECEIPT).alias("receipt"), sent.alias("t"), told.alias("told"))
+        rows = met.select("query_id", "wanted", F.explode(F.when(F.col("other").isNotNull() & (sent >= config.epsilon), F.array(keeps, sends)).otherwise(F.array(keeps))).alias("r")).select("query_id", "wanted", "r.*")
+        # a node is there once, and one node of a query fires: so there is one transmission at most
+        summed = rows.groupBy("query_id", "wanted", "id").agg(*(F.max(c).alias(c) for c in ("a", "fired", "is_seed", "best", "t")), F.min("depth").alias("depth"), F.max("receipt").alias("receipt"), F.max("told").alias("told"))
+        better = F.col("t").isNotNull() & ~F.col("is_seed") & (F.col("t") > F.col("best"))
+        zero = F.lit(0.0)
+        hop = F.struct(F.col("told.from"), F.col("told.kind"), F.col("told.w"), F.least("depth", "told.hops").alias("hops")).cast(RECEIPT)
+        state = summed.select(
+            "query_id", "wanted", "id", (F.coalesce("a", zero) + F.coalesce("t", zero)).alias("activation"), "depth", "fired", "is_seed",
+            F.when(better, F.col("t")).otherwise(F.col("best")).alias("best"), F.when(better, hop).otherwise(F.col("receipt")).alias("receipt"),
         )
-        if step % 3 == 2 and step + 1 < budget:
+        if step % 4 == 3 and step + 1 < budget:
             state = cut_lineage(state, "activation")
     return state.select("query_id", "id", "activation", "depth", "is_seed", "receipt")
 

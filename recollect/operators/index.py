@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import EngineConfig
 from ..functions.scoring import age_days
 from ..functions.text import index_line
+from ..sources.tables import cut_lineage
 from .graph import degrees
 
 EMPTY = "(no memories yet)"
@@ -34,11 +35,11 @@ def boot_index(memories: DataFrame, edges: DataFrame | None = None, cap: int = 5
     reserve = _newest(now, max(1, cap // 4)).select("id", F.lit(True).alias("reserved"))
     rows = now.join(degrees(edges, memories), "id").join(F.broadcast(reserve), "id", "left")
     by_use = (F.desc(F.round("degree", 9)), *late)
-    hubs = rows.where("degree > 0 and reserved is null").orderBy(*by_use).limit(cap - max(1, cap // 4))
+    hubs = cut_lineage(rows.where("degree > 0 and reserved is null").orderBy(*by_use).limit(cap - max(1, cap // 4)), "hubs")
     n_hubs = hubs.count()
     if not n_hubs:
         return placed(_newest(now, cap), "all", *late)
-    rest = _newest(rows.join(F.broadcast(hubs.select("id")), "id", "left_anti"), cap - n_hubs)
+    rest = _newest(now.join(F.broadcast(hubs.select("id")), "id", "left_anti"), cap - n_hubs)
     return placed(hubs, "hub", *by_use).unionByName(placed(rest, "recent", *late))
 
 

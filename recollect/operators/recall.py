@@ -24,6 +24,17 @@ def by_tags(memories: DataFrame, tags: list[str], type_: str | None = None, limi
     return rows.orderBy(F.desc("updated_at"), F.desc("id")).limit(limit)
 
 
+def recall_by_tags(memories: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
+    """(query_id, rank, id) of queries (query_id, tags, and perhaps type) without words: the latest current rows that have
+    all tags, of the type if there is one. Rows meet queries over the first tag of these."""
+    type_ = F.col("type") if "type" in queries.columns else F.lit(None).cast("string")
+    asked = queries.where(F.size("tags") > 0).select("query_id", F.col("tags").alias("wanted"), type_.alias("wanted_type"), F.col("tags")[0].alias("tag"))
+    rows = memories.where("valid_to is null").select("id", "type", "updated_at", F.col("tags").alias("have"), F.explode(F.array_distinct("tags")).alias("tag"))
+    met = rows.join(asked, "tag").where(has_tags(F.col("have"), F.col("wanted")) & (F.col("wanted_type").isNull() | (F.col("wanted_type") == F.col("type"))))
+    order = Window.partitionBy("query_id").orderBy(F.desc("updated_at"), F.desc("id"))
+    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", "rank", "id")
+
+
 def seeds(memories: DataFrame, queries: DataFrame, config: EngineConfig = EngineConfig(), now=None) -> DataFrame:
     """(query_id, id, score). queries: query_id, text, and perhaps type, tags and embedding; without vectors the keyword
     arm stands alone."""
@@ -66,10 +77,11 @@ def via() -> F.Column:
     return F.when(~F.col("is_seed") & F.col("receipt").isNotNull(), walked).otherwise(F.struct(F.lit(True), F.lit(None).cast("array<struct<f: bigint, k: string, w: double>>"), F.lit(None).cast("int")).cast(VIA))
 
 
-def recall(memories: DataFrame, edges: DataFrame, queries: DataFrame, members: DataFrame | None = None, sessions: DataFrame | None = None, config: EngineConfig = EngineConfig(), type_: str | None = None, now=None) -> DataFrame:
+def recall(memories: DataFrame, edges: DataFrame, queries: DataFrame, members: DataFrame | None = None, sessions: DataFrame | None = None, config: EngineConfig = EngineConfig(), now=None) -> DataFrame:
     """(query_id, rank, id, activation, is_seed, in_head, via): associative recall of a batch of queries.
 
-    A query without seeds gives nothing, whatever its session holds. Rows beyond the limit are kept when they are in the
+    A query's type, if it has one, holds for its seeds, for what its session primes and for what the walk reaches. A
+    query without seeds gives nothing, whatever its session holds. Rows beyond the limit are kept when they are in the
     head, with null as rank: learning uses the whole head.
     """
     if config.assoc:  # read by the walk, the head and the result: written once
@@ -77,9 +89,10 @@ def recall(memories: DataFrame, edges: DataFrame, queries: DataFrame, members: D
     else:
         return plain_recall(memories, queries, config, now).withColumnRenamed("score", "activation").withColumns({"is_seed": F.lit(True), "in_head": F.lit(False), "via": F.lit(None).cast(VIA)})
     start = found.select("query_id", "id", F.col("score").alias("activation"))
+    types = queries.select("query_id", "type") if "type" in queries.columns else None
     if members is not None and sessions is not None:
-        start = primed(found, members, sessions, memories, config, type_).join(found.select("query_id").distinct(), "query_id", "left_semi")
-    walked = cut_lineage(spread(start, edges, memories, config, type_=type_), "walked")
+        start = primed(found, members, sessions, memories, config, types).join(found.select("query_id").distinct(), "query_id", "left_semi")
+    walked = cut_lineage(spread(start, edges, memories, config, types=types), "walked")
     rows = protected(_tagged(walked, memories, queries), found, config)
     inside = F.col("rank") <= config.recall_limit
     return rows.where(inside | F.col("in_head")).withColumn("via", via()).withColumn("rank", F.when(inside, F.col("rank"))).drop("receipt")

@@ -32,27 +32,31 @@ def session_activation_no_ttl(touches: DataFrame, config: EngineConfig = EngineC
     return kept.groupBy("session_id", "memory_id").agg(F.sum(F.col("bump") * F.pow(F.lit(config.session_decay), (F.col("last") - F.col("touch")).cast("double"))).alias("activation"))
 
 
-def fold_session(state: dict[int, float], touches: list[list[int]], config: EngineConfig) -> tuple[dict[int, float], dict[tuple[int, int], int]]:
-    """Activation after a session's touches in order, and how often each pair was active together.
+def fold_touch(state: dict[int, float], touch: list[int], config: EngineConfig) -> tuple[dict[int, float], list[tuple[int, int]]]:
+    """Activation after one more touch, and the pairs that were active together.
 
     A touch halves what is there, adds 0.5^rank along its list while that is large enough, pairs the most active
     members above the floor, and drops small residues.
     """
-    state, pairs = dict(state), {}
+    state = {m: a * config.session_decay for m, a in state.items()}
+    for rank, m in enumerate(touch):
+        bump = config.hebbian_bump_decay**rank
+        if bump < config.session_ttl_activation:
+            break
+        state[m] = state.get(m, 0.0) + bump
+    active = sorted((m for m, a in state.items() if a >= config.hebbian_wire_floor), key=lambda m: (-state[m], m))[: config.hebbian_top_m]
+    pairs = [(min(a, b), max(a, b)) for i, a in enumerate(active) for b in active[i + 1 :]]
+    return {m: a for m, a in state.items() if a >= config.session_ttl_activation}, pairs
+
+
+def fold_session(state: dict[int, float], touches: list[list[int]], config: EngineConfig) -> tuple[dict[int, float], dict[tuple[int, int], int]]:
+    """Activation after a session's touches in order, and how often each pair was active together."""
+    state, times = dict(state), {}
     for touch in touches:
-        state = {m: a * config.session_decay for m, a in state.items()}
-        for rank, m in enumerate(touch):
-            bump = config.hebbian_bump_decay**rank
-            if bump < config.session_ttl_activation:
-                break
-            state[m] = state.get(m, 0.0) + bump
-        active = sorted((m for m, a in state.items() if a >= config.hebbian_wire_floor), key=lambda m: (-state[m], m))[: config.hebbian_top_m]
-        for i, a in enumerate(active):
-            for b in active[i + 1 :]:
-                pair = (min(a, b), max(a, b))
-                pairs[pair] = pairs.get(pair, 0) + 1
-        state = {m: a for m, a in state.items() if a >= config.session_ttl_activation}
-    return state, pairs
+        state, pairs = fold_touch(state, touch, config)
+        for pair in pairs:
+            times[pair] = times.get(pair, 0) + 1
+    return state, times
 
 
 FOLDED = "session_id string, kind string, a long, b long, value double"
@@ -63,7 +67,8 @@ def touch_sessions(touches: DataFrame, members: DataFrame | None = None, config:
     (session_id, "pair", a, b, times).
 
     touches: session_id, touch, rank, memory_id; members: the activation before, if any. A session's rows come to one
-    task, sorted; its state is bounded by what a touch can add and the removal of residues.
+    task, sorted, and are folded touch by touch: the state is bounded by what a touch can add and the removal of residues,
+    and counts of pairs are passed on in portions, which are summed at the end.
     """
     ship(touches.sparkSession)
     rows = touches.select(F.col("session_id").cast("string").alias("session_id"), F.col("touch").cast("long").alias("touch"), F.col("rank").cast("long").alias("rank"), F.col("memory_id").cast("long").alias("memory_id"), F.lit(None).cast("double").alias("activation"))
@@ -76,36 +81,47 @@ def touch_sessions(touches: DataFrame, members: DataFrame | None = None, config:
         rows = rows.unionByName(members.select(F.col("session_id").cast("string").alias("session_id"), F.lit(-1).cast("long").alias("touch"), F.lit(0).cast("long").alias("rank"), "memory_id", "activation"))
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        session, state, lists = None, {}, []
+        session, state, times, last, own = None, {}, {}, None, []
         out: list[tuple] = []
 
-        def close() -> None:
-            after, pairs = fold_session(state, [own for _, own in lists], config)
-            out.extend((session, "member", m, None, a) for m, a in after.items())
-            out.extend((session, "pair", a, b, float(n)) for (a, b), n in pairs.items())
+        def fold_own() -> None:
+            nonlocal state
+            if own:
+                state, pairs = fold_touch(state, own, config)
+                for pair in pairs:
+                    times[pair] = times.get(pair, 0) + 1
+                own.clear()
+
+        def pass_on() -> None:
+            out.extend((session, "pair", a, b, float(n)) for (a, b), n in times.items())
+            times.clear()
 
         for batch in batches:
             for s, touch, _, m, a in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if s != session or touch != last:
+                    fold_own()
                 if s != session:
-                    if session is not None:
-                        close()
-                    session, state, lists = s, {}, []
+                    pass_on()
+                    out.extend((session, "member", x, None, v) for x, v in state.items())
+                    session, state = s, {}
+                last = touch
                 if touch < 0:
                     state[m] = a
-                elif lists and lists[-1][0] == touch:
-                    lists[-1][1].append(m)
                 else:
-                    lists.append((touch, [m]))
-            if len(out) > 50_000:
-                yield _folded(out)
-                out = []
-        if session is not None:
-            close()
+                    own.append(m)
+                if len(times) > 50_000:
+                    pass_on()
+                if len(out) > 50_000:
+                    yield _folded(out)
+                    out = []
+        fold_own()
+        pass_on()
+        out.extend((session, "member", x, None, v) for x, v in state.items())
         if out:
             yield _folded(out)
 
     dealt = rows.where("session_id is not null").repartition("session_id").sortWithinPartitions("session_id", "touch", "rank", "memory_id")
-    return dealt.mapInArrow(fold, FOLDED)
+    return dealt.mapInArrow(fold, FOLDED).groupBy("session_id", "kind", "a", "b").agg(F.sum("value").alias("value"))
 
 
 def _folded(rows: list[tuple]) -> pa.RecordBatch:
@@ -129,13 +145,15 @@ def unprime(members: DataFrame, ids: DataFrame) -> DataFrame:
     return members.join(ids.select(F.col("id").alias("memory_id")), "memory_id", "left_anti").select(*members.columns)
 
 
-def primed(seeds: DataFrame, members: DataFrame, sessions: DataFrame, memories: DataFrame, config: EngineConfig = EngineConfig(), type_: str | None = None) -> DataFrame:
+def primed(seeds: DataFrame, members: DataFrame, sessions: DataFrame, memories: DataFrame, config: EngineConfig = EngineConfig(), types: DataFrame | None = None) -> DataFrame:
     """(query_id, id, activation): seed scores plus a share of the session's activation. sessions: query_id, session_id.
 
-    The type filter holds for primed rows as well, and only current ones are primed.
+    types: (query_id, type), null for any; a query's type holds for primed rows as well, and only current ones are primed.
     """
-    valid = memories.where("valid_to is null")
-    valid = valid.where(F.col("type") == type_) if type_ else valid
-    active = sessions.join(members, "session_id").join(valid.select(F.col("id").alias("memory_id")), "memory_id", "left_semi").select("query_id", F.col("memory_id").alias("id"), (F.col("activation") * config.priming_weight).alias("activation"))
+    valid = memories.where("valid_to is null").select(F.col("id").alias("memory_id"), "type")
+    active = sessions.join(members, "session_id").join(valid, "memory_id")
+    if types is not None:
+        active = active.join(types.select("query_id", F.col("type").alias("wanted")), "query_id").where("wanted is null or wanted = type")
+    active = active.select("query_id", F.col("memory_id").alias("id"), (F.col("activation") * config.priming_weight).alias("activation"))
     both = seeds.select("query_id", "id", F.col("score").alias("activation")).unionByName(active)
     return both.groupBy("query_id", "id").agg(F.sum("activation").alias("activation"))

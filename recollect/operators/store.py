@@ -26,21 +26,21 @@ def rejected(ops: DataFrame) -> DataFrame:
 
 
 def fold_upserts(ops: DataFrame) -> DataFrame:
-    """One row per (type, normalised title): the last operation's values, the first one's time, all links.
+    """One row per (type, normalised title): the last operation's values, the first one's time, all links in their order.
 
     ops: seq, type, title, body, tags, links, at, device_id, author, embedding.
     """
     keyed = ops.withColumn("title_norm", norm_title(F.col("title")))
     value = F.struct("seq", "title", "body", "tags", "at", "device_id", "author", "embedding")
-    folded = keyed.groupBy("type", "title_norm").agg(F.max_by(value, "seq").alias("v"), F.min_by("at", "seq").alias("first_at"), F.min("seq").alias("first_seq"), F.count(F.lit(1)).alias("n_ops"), F.flatten(F.collect_set(F.coalesce("links", _no_links()))).alias("links"))
-    return folded.select("type", "title_norm", "v.title", "v.body", "v.tags", F.array_sort(F.array_distinct("links")).alias("links"), "first_at", F.col("v.at").alias("last_at"), "first_seq", "n_ops", "v.device_id", "v.author", "v.embedding")
+    folded = keyed.groupBy("type", "title_norm").agg(F.max_by(value, "seq").alias("v"), F.min_by("at", "seq").alias("first_at"), F.min("seq").alias("first_seq"), F.count(F.lit(1)).alias("n_ops"), F.array_sort(F.collect_list(F.struct("seq", F.coalesce("links", _no_links()).alias("links")))).alias("lists"))
+    return folded.select("type", "title_norm", "v.title", "v.body", "v.tags", F.array_distinct(F.flatten("lists.links")).alias("links"), "first_at", F.col("v.at").alias("last_at"), "first_seq", "n_ops", "v.device_id", "v.author", "v.embedding")
 
 
 def upsert(memories: DataFrame, ops: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The table after a batch of operations, and (type, title_norm, id, action) with action created or updated.
 
-    A current row of the key keeps its id, its creation and its start of validity and gets the new values; links are
-    united. New ids follow the greatest ever given, in the order of the operations. Rows that are not current stay.
+    A current row of the key keeps its id, its creation and its start of validity and gets the new values; new links
+    follow those that it has. New ids follow the greatest ever given, in the order of the operations. Rows that are not current stay.
     """
     new = fold_upserts(checked(ops))
     current = memories.where("valid_to is null")
@@ -50,7 +50,7 @@ def upsert(memories: DataFrame, ops: DataFrame) -> tuple[DataFrame, DataFrame]:
     fresh = _numbered(joined.where("id is null"), "first_seq").join(F.broadcast(top)).withColumn("id", F.col("top") + F.col("number"))
     updated = joined.where("id is not null")
     made = fresh.select("id", "type", "title", "title_norm", "body", "tags", "links", F.col("first_at").alias("created_at"), F.col("last_at").alias("updated_at"), "device_id", "embedding", "author", F.col("first_at").alias("valid_from"), F.lit(None).cast("timestamp").alias("valid_to"), F.lit(None).cast("long").alias("superseded_by"))
-    changed = updated.select("id", "type", "title", "title_norm", "body", "tags", F.array_sort(F.array_union("links", F.coalesce("old_links", _no_links()))).alias("links"), "created_at", F.col("last_at").alias("updated_at"), "device_id", "embedding", "author", "valid_from", F.lit(None).cast("timestamp").alias("valid_to"), "superseded_by")
+    changed = updated.select("id", "type", "title", "title_norm", "body", "tags", F.array_union(F.coalesce("old_links", _no_links()), "links").alias("links"), "created_at", F.col("last_at").alias("updated_at"), "device_id", "embedding", "author", "valid_from", F.lit(None).cast("timestamp").alias("valid_to"), "superseded_by")
     kept = memories.join(changed.select("id"), "id", "left_anti")
     actions = fresh.select("type", "title_norm", "id", F.lit("created").alias("action")).unionByName(updated.select("type", "title_norm", "id", F.lit("updated").alias("action")))
     return kept.select(*made.columns).unionByName(made).unionByName(changed), actions

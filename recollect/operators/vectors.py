@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.ship import ship
+from ..sources.tables import cut_lineage
 
 #: Query vectors that are sent to the executors at once; more are searched in several rounds.
 SLICE = 4096
@@ -104,11 +105,11 @@ def nearest(vectors: DataFrame, among: DataFrame, k: int = 8) -> DataFrame:
     spark = vectors.sparkSession
     ship(spark)
     plain = lambda df: df.where(F.col("embedding").isNotNull()).select(F.col("id").cast("long").alias("id"), "embedding")
-    left, right = _blocks(plain(vectors)), _blocks(plain(among)).select("block", F.col("ids").alias("o_ids"), F.col("matrix").alias("o_matrix"))
-    numbers = [r.block for r in _blocks(plain(among)).select("block").collect()]
-    if not numbers:
-        return spark.createDataFrame([], "id long, other long, sim double, rank int")
-    left = left.withColumn("block", F.explode(F.array(*map(F.lit, numbers))))
+    packed = cut_lineage(_blocks(plain(among)), "blocks")  # written: numbers of blocks hold for one run only
+    left = packed if among is vectors else cut_lineage(_blocks(plain(vectors)), "blocks")
+    right = packed.select("block", F.col("ids").alias("o_ids"), F.col("matrix").alias("o_matrix"))
+    numbers = packed.agg(F.collect_list("block").alias("numbers"))  # one long for each block of vectors
+    left = left.drop("block").join(F.broadcast(numbers)).select("ids", "matrix", F.explode("numbers").alias("block"))
 
     def multiply(batches):
         for batch in batches:

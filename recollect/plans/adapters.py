@@ -20,12 +20,12 @@ def at(seconds) -> F.Column:
 
 
 def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as memories: every 17th is no longer current, every 34th superseded; links go 20 rows back, and every
-    fifth row has one to the row before."""
+    """Documents as memories: every 17th is no longer current, every 34th superseded; links go 20 rows back within 400 rows,
+    and every fifth row has one to the row before."""
     id_, text = F.col("doc_id"), F.col("text")
     type_ = F.when(F.col("lang") == "en", "user").when(F.col("lang") == "fr", "project").when(F.col("lang") == "de", "reference").otherwise("feedback")
     made = at(F.lit(EPOCH) + id_ * 3600)
-    links = F.concat(F.when(id_ >= 20, F.array(id_ - 20)).otherwise(F.array().cast("array<long>")), F.when((id_ % 5 == 0) & (id_ > 0), F.array(id_ - 1)).otherwise(F.array().cast("array<long>")))
+    links = F.concat(F.when(id_ % 400 >= 20, F.array(id_ - 20)).otherwise(F.array().cast("array<long>")), F.when((id_ % 5 == 0) & (id_ > 0), F.array(id_ - 1)).otherwise(F.array().cast("array<long>")))
     return table(spark, sf_dir, "documents").select(
         id_.alias("id"), type_.alias("type"), F.substring(text, 1, 40).alias("title"), norm_title(F.substring(text, 1, 40)).alias("title_norm"), text.alias("body"), F.array("lang", "source").alias("tags"),
         links.alias("links"), made.alias("created_at"), made.alias("updated_at"), F.lit("device").alias("device_id"), F.lit(None).cast("array<float>").alias("embedding"), F.col("source").alias("author"),
@@ -38,8 +38,8 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first ten vectors as a batch of queries."""
-    return vectors(spark, sf_dir).where("id < 10").select(F.col("id").alias("query_id"), "type", "embedding")
+    """Every vector whose id is divisible by 50, as a batch of queries."""
+    return vectors(spark, sf_dir).where("id % 50 = 0").select(F.col("id").alias("query_id"), "type", "embedding")
 
 
 #: query_id, text, type, and its phrases.
@@ -52,6 +52,10 @@ QUERIES = [
     (6, "la éaux", "project", [["la"], ["eaux"]]),
     (7, "zzzz", None, [["zzzz"]]),
     (8, "--", None, []),
+    (9, "ouaimentelle", None, [["ouaimentelle"]]),  # words of few rows: what the graph reaches comes into the result
+    (10, "enaiaux", "project", [["enaiaux"]]),
+    (11, "relyble", None, [["relyble"]]),
+    (12, "oransh", "user", [["oransh"]]),
 ]
 
 
@@ -66,7 +70,7 @@ def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     explicit = explicit_edges(memories(spark, sf_dir)).withColumn("kind", F.lit("explicit"))
     used = co_use(spark, sf_dir).withColumn("kind", F.lit("hebbian"))
     made = F.col("id")
-    principles = memories(spark, sf_dir).where("id % 50 = 7").select(F.col("id").alias("src"), F.explode(F.array(made + 1, made + 2, made + 3)).alias("dst"), F.lit(1.0).alias("weight"), F.lit("crystallized").alias("kind"))
+    principles = memories(spark, sf_dir).where("id % 50 = 7").select(F.col("id").alias("src"), F.explode(F.array(made + 20, made + 40, made + 60)).alias("dst"), F.lit(1.0).alias("weight"), F.lit("crystallized").alias("kind"))
     return explicit.unionByName(used).unionByName(principles).select("src", "dst", "kind", "weight", at(EPOCH).alias("updated_at"))
 
 
@@ -116,19 +120,19 @@ NEEDED_SQL = ", ".join(f"({q}, {len(phrases)}, {'NULL' if type_ is None else rep
 CTES = {
     "mem": f"""mem AS (SELECT doc_id AS id, CASE lang WHEN 'en' THEN 'user' WHEN 'fr' THEN 'project' WHEN 'de' THEN 'reference' ELSE 'feedback' END AS type,
         left(text, 40) AS title, {norm_sql("left(text, 40)")} AS title_norm, text AS body, [lang, source] AS tags,
-        list_concat(CASE WHEN doc_id >= 20 THEN [doc_id - 20] ELSE CAST([] AS BIGINT[]) END, CASE WHEN doc_id % 5 = 0 AND doc_id > 0 THEN [doc_id - 1] ELSE CAST([] AS BIGINT[]) END) AS links,
+        list_concat(CASE WHEN doc_id % 400 >= 20 THEN [doc_id - 20] ELSE CAST([] AS BIGINT[]) END, CASE WHEN doc_id % 5 = 0 AND doc_id > 0 THEN [doc_id - 1] ELSE CAST([] AS BIGINT[]) END) AS links,
         {EPOCH} + doc_id * 3600 AS updated_s, source AS author, CASE WHEN doc_id % 17 = 0 THEN {EPOCH} + doc_id * 3600 + 86400 END AS valid_to_s,
         CASE WHEN doc_id % 34 = 0 THEN doc_id + 1 END AS superseded_by FROM documents),
     cur AS (SELECT * FROM mem WHERE valid_to_s IS NULL)""",
     "vec": "vec AS (SELECT vec_id AS id, CAST(label AS VARCHAR) AS type, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)",
-    "qv": "qv AS (SELECT id AS query_id, type AS qtype, e AS qe FROM vec WHERE id < 10)",
+    "qv": "qv AS (SELECT id AS query_id, type AS qtype, e AS qe FROM vec WHERE id % 50 = 0)",
     "sims": "sims AS (SELECT query_id, qtype, id, type, list_dot_product(qe, e) AS sim FROM qv, vec)",
     "explicit": "explicit AS (SELECT DISTINCT least(id, other) AS src, greatest(id, other) AS dst, CAST(1.0 AS DOUBLE) AS weight FROM (SELECT id, unnest(links) AS other FROM mem) WHERE id <> other)",
     "touches": "touches AS (SELECT CAST(l_orderkey AS VARCHAR) AS session_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS BIGINT) AS rank, l_suppkey AS memory_id FROM lineitem)",
     "co_use": """co_use AS (SELECT least(a.memory_id, b.memory_id) AS src, greatest(a.memory_id, b.memory_id) AS dst, least(5.0, 0.5 * count(*))::DOUBLE AS weight
         FROM touches a JOIN touches b ON a.session_id = b.session_id AND a.rank < b.rank AND a.rank <= 2 AND b.rank <= 2 WHERE a.memory_id <> b.memory_id GROUP BY 1, 2)""",
     "edges": """edges AS (SELECT src, dst, 'explicit' AS kind, weight FROM explicit UNION ALL SELECT src, dst, 'hebbian', weight FROM co_use
-        UNION ALL SELECT id, unnest([id + 1, id + 2, id + 3]), 'crystallized', 1.0 FROM mem WHERE id % 50 = 7)""",
+        UNION ALL SELECT id, unnest([id + 20, id + 40, id + 60]), 'crystallized', 1.0 FROM mem WHERE id % 50 = 7)""",
     "sym": "sym AS (SELECT id, other, kind, max(weight) AS weight FROM (SELECT src AS id, dst AS other, kind, weight FROM edges UNION ALL SELECT dst, src, kind, weight FROM edges) GROUP BY ALL)",
     "nbr": """nbr AS (SELECT id, other, sum(b) AS weight, arg_max(kind, b * 1000 + CASE kind WHEN 'explicit' THEN 4 WHEN 'crystallized' THEN 3 WHEN 'hebbian' THEN 2 ELSE 1 END * 0.001) AS kind
         FROM (SELECT *, weight * CASE kind WHEN 'explicit' THEN 1.2 WHEN 'crystallized' THEN 1.2 ELSE 1.0 END AS b FROM sym WHERE other IN (SELECT id FROM cur)) GROUP BY id, other)""",

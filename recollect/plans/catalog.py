@@ -145,13 +145,13 @@ def upsert_fold_latest(spark, sf):
     return folded.select("type", "title_norm", ((seconds("last_at") - EPOCH) / 3600).cast("long").alias("last_seq"), "author", seconds("first_at").alias("first_s"), seconds("last_at").alias("last_s"), big("n_ops").alias("n_ops"))
 
 
-@query(sql("SELECT type, title_norm, array_to_string(list_sort(list_distinct(flatten(list(links)))), ',') AS links FROM mem GROUP BY type, title_norm", "mem"))
+@query(sql("SELECT type, title_norm, coalesce(array_to_string(list(l ORDER BY p) FILTER (l IS NOT NULL), ','), '') AS links FROM (SELECT type, title_norm, l, min(p) AS p FROM (SELECT type, title_norm, unnest(CASE WHEN len(links) = 0 THEN [NULL] ELSE links END) AS l, 10 * id + unnest(range(greatest(len(links), 1))) AS p FROM mem) GROUP BY ALL) GROUP BY ALL", "mem"))
 def upsert_links_union(spark, sf):
     return store.fold_upserts(_ops(spark, sf)).select("type", "title_norm", csv("links").alias("links"))
 
 
 @query(sql("""WITH base AS (SELECT * FROM mem WHERE id % 3 = 0), live AS (SELECT type, title_norm, max(id) AS id FROM base WHERE valid_to_s IS NULL GROUP BY ALL),
-new AS (SELECT type, title_norm, min(id) AS first_id FROM mem WHERE id % 3 = 1 GROUP BY ALL)
+new AS (SELECT type, title_norm, min(id) AS first_id FROM mem WHERE id % 3 <> 0 GROUP BY ALL)
 SELECT n.type, n.title_norm, CASE WHEN l.id IS NULL THEN 'created' ELSE 'updated' END AS action,
     CASE WHEN l.id IS NULL THEN (SELECT max(id) FROM base) + row_number() OVER (PARTITION BY l.id IS NULL ORDER BY first_id) ELSE l.id END AS id
 FROM new n LEFT JOIN live l USING (type, title_norm)""", "mem"))
@@ -159,7 +159,7 @@ def upsert_batch(spark, sf):
     m = A.memories(spark, sf).where("id % 3 = 0")
     newest = Window.partitionBy("type", "title_norm", F.col("valid_to").isNull()).orderBy(F.desc("id"))
     base = m.withColumn("n", F.row_number().over(newest)).where("valid_to is not null or n = 1").drop("n")
-    return store.upsert(base, _ops(spark, sf).where("seq % 3 = 1"))[1].select("type", "title_norm", "action", big("id").alias("id"))
+    return store.upsert(base, _ops(spark, sf).where("seq % 3 <> 0"))[1].select("type", "title_norm", "action", big("id").alias("id"))
 
 
 @query(sql("SELECT type, title_norm, count(*) AS n FROM cur GROUP BY ALL HAVING count(*) > 1", "mem"))
@@ -315,16 +315,16 @@ def seed_scores_keyword(spark, sf):
 
 
 def _hybrid(spark, sf):
-    """Memories with vectors, and the texts with the first vectors as a batch."""
+    """Memories with vectors, and the texts with the vectors of 50, 100, ... as a batch."""
     v = A.vectors(spark, sf).select("id", "embedding")
     m = A.memories(spark, sf).drop("embedding").join(v, "id", "left")
-    q = A.text_queries(spark).join(A.vector_queries(spark, sf).select("query_id", "embedding"), "query_id")
+    q = A.text_queries(spark).join(v.select((F.col("id") / 50).cast("long").alias("query_id"), "embedding", "id").where("id % 50 = 0").drop("id"), "query_id", "left")
     return m, q.drop("type")
 
 
-_HYBRID_SQL = """WITH q AS (SELECT * FROM (VALUES (1), (2), (3), (4), (5), (6), (7), (8)) t(query_id)),
+_HYBRID_SQL = f"""WITH q AS (SELECT * FROM (VALUES {', '.join(f'({k[0]})' for k in A.QUERIES)}) t(query_id)),
 kw AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, updated_s DESC, id) AS rank FROM bm25 JOIN cur USING (id)),
-vs AS (SELECT q.query_id, c.id, list_dot_product(a.e, b.e) AS sim FROM q JOIN vec a ON a.id = q.query_id, vec b JOIN cur c ON c.id = b.id),
+vs AS (SELECT q.query_id, c.id, list_dot_product(a.e, b.e) AS sim FROM q JOIN vec a ON a.id = 50 * q.query_id, vec b JOIN cur c ON c.id = b.id),
 vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, id) AS rank FROM vs),
 both_arms AS (SELECT query_id, id, rank FROM kw WHERE rank <= 200 UNION ALL SELECT query_id, id, rank FROM vr WHERE rank <= 200 AND sim >= 0.35),
 fused AS (SELECT query_id, id, sum(1.0 / (60.0 + rank)) AS score FROM both_arms GROUP BY ALL),
@@ -423,18 +423,25 @@ def _start(spark):
     return spark.createDataFrame(_STARTS, "query_id long, id long, activation double")
 
 
-def _spread_sql(rounds: int) -> str:
-    """Rounds of spreading, unrolled."""
-    parts = [f"st0 AS (SELECT CAST(query_id AS BIGINT) AS query_id, CAST(id AS BIGINT) AS id, CAST(a AS DOUBLE) AS a, 0 AS depth, false AS fired, true AS seed, 0.0::DOUBLE AS best, NULL::BIGINT AS rfrom, NULL::VARCHAR AS rkind, NULL::DOUBLE AS rw, NULL::INT AS hops FROM (VALUES {', '.join(map(str, _STARTS))}) t(query_id, id, a))"]
+_START_SQL = f"SELECT CAST(query_id AS BIGINT) AS query_id, CAST(id AS BIGINT) AS id, CAST(a AS DOUBLE) AS a, NULL::VARCHAR AS wanted FROM (VALUES {', '.join(map(str, _STARTS))}) t(query_id, id, a)"
+
+
+def _spread_ctes(start: str, rounds: int) -> str:
+    """Rounds of spreading from (query_id, id, a, wanted), unrolled: common tables up to st<rounds>."""
+    parts = [f"st0 AS (SELECT query_id, id, a, wanted, 0 AS depth, false AS fired, true AS seed, 0.0::DOUBLE AS best, NULL::BIGINT AS rfrom, NULL::VARCHAR AS rkind, NULL::DOUBLE AS rw, NULL::INT AS hops FROM ({start}))"]
     for r in range(rounds):
-        parts.append(f"pk{r} AS (SELECT query_id, id, a, depth FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY a DESC, id) AS n FROM st{r} WHERE NOT fired AND a >= 1e-4) WHERE n = 1)")
-        parts.append(f"sd{r} AS (SELECT p.query_id, n.other AS id, p.a * n.weight * 0.4 AS t, p.id AS f, n.kind AS k, round(n.weight, 3) AS w, p.depth + 1 AS d FROM pk{r} p JOIN nbr n ON n.id = p.id WHERE p.a * n.weight * 0.4 >= 1e-4)")
+        parts.append(f"pk{r} AS (SELECT query_id, id, a, depth, wanted FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY a DESC, id) AS n FROM st{r} WHERE NOT fired AND a >= 1e-4) WHERE n = 1)")
+        parts.append(f"sd{r} AS (SELECT p.query_id, p.wanted, n.other AS id, p.a * n.weight * 0.4 AS t, p.id AS f, n.kind AS k, round(n.weight, 3) AS w, p.depth + 1 AS d FROM pk{r} p JOIN nbr n ON n.id = p.id JOIN cur c ON c.id = n.other WHERE p.a * n.weight * 0.4 >= 1e-4 AND (p.wanted IS NULL OR p.wanted = c.type))")
         parts.append(
-            f"st{r + 1} AS (SELECT query_id, id, coalesce(s.a, 0) + coalesce(t, 0) AS a, least(coalesce(s.depth, d), coalesce(d, s.depth)) AS depth, coalesce(s.fired, false) OR EXISTS (SELECT 1 FROM pk{r} p WHERE p.query_id = query_id AND p.id = coalesce(s.id, m.id) AND p.query_id = coalesce(s.query_id, m.query_id)) AS fired, coalesce(s.seed, false) AS seed, "
+            f"st{r + 1} AS (SELECT query_id, id, coalesce(s.a, 0) + coalesce(t, 0) AS a, coalesce(s.wanted, m.wanted) AS wanted, least(coalesce(s.depth, d), coalesce(d, s.depth)) AS depth, coalesce(s.fired, false) OR EXISTS (SELECT 1 FROM pk{r} p WHERE p.query_id = query_id AND p.id = coalesce(s.id, m.id) AND p.query_id = coalesce(s.query_id, m.query_id)) AS fired, coalesce(s.seed, false) AS seed, "
             + ", ".join(f"CASE WHEN t IS NOT NULL AND NOT coalesce(s.seed, false) AND t > coalesce(s.best, 0) THEN {new} ELSE {old} END AS {name}" for name, new, old in (("best", "t", "coalesce(s.best, 0)"), ("rfrom", "f", "s.rfrom"), ("rkind", "k", "s.rkind"), ("rw", "w", "s.rw"), ("hops", "least(coalesce(s.depth, d), d)", "s.hops")))
             + f" FROM st{r} s FULL JOIN sd{r} m USING (query_id, id))"
         )
-    return sql(f"WITH {', '.join(parts)} SELECT query_id, id, round(a, 6) AS activation, CAST(depth AS BIGINT) AS depth, seed AS is_seed, rfrom AS via_from, rkind AS via_kind, round(rw, 3) AS via_w, CAST(hops AS BIGINT) AS hops FROM st{rounds}", "nbr")
+    return ", ".join(p.replace(" AS (", " AS MATERIALIZED (", 1) for p in parts)
+
+
+def _spread_sql(rounds: int) -> str:
+    return sql(f"WITH {_spread_ctes(_START_SQL, rounds)} SELECT query_id, id, round(a, 6) AS activation, CAST(depth AS BIGINT) AS depth, seed AS is_seed, rfrom AS via_from, rkind AS via_kind, round(rw, 3) AS via_w, CAST(hops AS BIGINT) AS hops FROM st{rounds}", "nbr")
 
 
 def _spread(spark, sf, rounds):
@@ -456,7 +463,16 @@ def _associated(spark, sf):
     return recall.recall(A.memories(spark, sf), A.graph_edges(spark, sf), A.text_queries(spark))
 
 
-@query()
+def _associated_sql(columns: str) -> str:
+    """Recall with the default settings: 8 expansions from the seeds, a head of 8 and 20 hits."""
+    start = "SELECT CAST(s.query_id AS BIGINT) AS query_id, s.id, s.score AS a, n.qtype AS wanted FROM seeds s JOIN needed n ON n.query_id = s.query_id"
+    return sql(
+        f"""WITH {_spread_ctes(start, 8)}, hd AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS place FROM seeds),
+ordered AS (SELECT st8.*, place <= 8 AND place IS NOT NULL AS in_head, row_number() OVER (PARTITION BY st8.query_id ORDER BY CASE WHEN place <= 8 THEN place END NULLS LAST, round(a, 9) DESC, st8.id) AS rank FROM st8 LEFT JOIN hd ON hd.query_id = st8.query_id AND hd.id = st8.id)
+SELECT {columns} FROM ordered WHERE rank <= 20""", "nbr", "seeds")
+
+
+@query(_associated_sql("query_id, rank, id, round(a, 6) AS activation, seed AS is_seed, in_head"))
 def recall_associative(spark, sf):
     return _associated(spark, sf).select("query_id", big("rank").alias("rank"), "id", r6("activation").alias("activation"), "is_seed", "in_head")
 
@@ -466,9 +482,10 @@ def recall_protect_head(spark, sf):
     return _associated(spark, sf).where("in_head").select("query_id", "id", big("rank").alias("rank"))
 
 
-@query()
+@query(_associated_sql("query_id, id, CASE WHEN seed OR rfrom IS NULL THEN true END AS is_seed, CASE WHEN NOT seed THEN rfrom END AS via_from, CASE WHEN NOT seed THEN rkind END AS via_kind, CASE WHEN NOT seed THEN rw END AS via_w, CASE WHEN NOT seed THEN CAST(hops AS BIGINT) END AS hops"))
 def via_receipts(spark, sf):
-    return _associated(spark, sf).where("rank is not null").select("query_id", "id", F.to_json("via").alias("via"))
+    step = F.col("via.path")[0]
+    return _associated(spark, sf).where("rank is not null").select("query_id", "id", F.col("via.seed").alias("is_seed"), step["from"].alias("via_from"), step["kind"].alias("via_kind"), step["w"].alias("via_w"), big("via.hops").alias("hops"))
 
 
 # --- sessions -------------------------------------------------------------------------------------------------
@@ -489,7 +506,18 @@ def session_activation_no_ttl(spark, sf):
     return sessions.session_activation_no_ttl(A.customer_touches(spark, sf)).select("session_id", "memory_id", r6("activation").alias("activation"))
 
 
-@query()
+_FOLD_SQL = f"""WITH {_CUSTOMER_SQL}, lists AS (SELECT session_id, memory_id, rank, dense_rank() OVER (PARTITION BY session_id ORDER BY touch) AS touch FROM ct),
+l AS (SELECT session_id, max(touch) AS last FROM lists GROUP BY 1),
+bumps AS (SELECT session_id, memory_id, touch, sum(pow(0.5, rank)) AS b FROM lists WHERE pow(0.5, rank) >= 0.05 GROUP BY ALL),
+grid AS (SELECT session_id, memory_id, unnest(range(1, last + 1)) AS touch FROM (SELECT DISTINCT session_id, memory_id FROM bumps) JOIN l USING (session_id)),
+own AS (SELECT session_id, memory_id, list(coalesce(b, 0.0) ORDER BY touch) AS bs FROM grid LEFT JOIN bumps USING (session_id, memory_id, touch) GROUP BY ALL),
+states AS (SELECT session_id, memory_id, touch, list_reduce(bs[1:touch], lambda a, x: CASE WHEN a >= 0.05 THEN a * 0.5 ELSE 0.0 END + x) AS a FROM grid JOIN own USING (session_id, memory_id)),
+active AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id, touch ORDER BY a DESC, memory_id) AS n FROM states WHERE a >= 0.25) WHERE n <= 8)
+SELECT session_id, 'member' AS kind, memory_id AS a, CAST(NULL AS BIGINT) AS b, round(a, 6) AS value FROM states JOIN l USING (session_id) WHERE touch = last AND a >= 0.05
+UNION ALL SELECT x.session_id, 'pair', x.memory_id, y.memory_id, CAST(count(*) AS DOUBLE) FROM active x JOIN active y ON x.session_id = y.session_id AND x.touch = y.touch AND x.memory_id < y.memory_id GROUP BY ALL"""
+
+
+@query(sql(_FOLD_SQL, "touches"))
 def touch_session_fold(spark, sf):
     return sessions.touch_sessions(A.customer_touches(spark, sf)).select("session_id", "kind", "a", "b", r6("value").alias("value"))
 
@@ -527,9 +555,9 @@ def _index(found):
     return found.select("section", big("place").alias("place"), "id", "line")
 
 
-@query(sql(f"SELECT 'all' AS section, row_number() OVER (ORDER BY updated_s DESC, id DESC) AS place, id, {_LINE} FROM cur WHERE id < 30", "mem"))
+@query(sql(f"SELECT 'all' AS section, row_number() OVER (ORDER BY updated_s DESC, id DESC) AS place, id, {_LINE} FROM cur", "mem"))
 def boot_index_small(spark, sf):
-    return _index(index.boot_index(A.memories(spark, sf).where("id < 30"), A.graph_edges(spark, sf), 50))
+    return _index(index.boot_index(A.memories(spark, sf), A.graph_edges(spark, sf), 10_000_000))
 
 
 @query(sql(f"""WITH res AS (SELECT id FROM cur ORDER BY updated_s DESC, id DESC LIMIT 12),
@@ -551,11 +579,11 @@ def _sweep_sql(max_: int) -> str:
 
 def _sweep(spark, sf, max_):
     m = A.memories(spark, sf)
-    edges = A.graph_edges(spark, sf).where("kind <> 'explicit' or dst % 2 = 0")
+    edges = A.graph_edges(spark, sf).where("kind <> 'explicit'")  # with links every row is in use
     return index.sweep_candidates(m, edges, A.at(NOW), EngineConfig(forget_max_per_sweep=max_))
 
 
-_SWEEP_EDGES = ("kind IN ('explicit', 'hebbian', 'crystallized')", "(kind <> 'explicit' OR dst % 2 = 0)")
+_SWEEP_EDGES = ("kind IN ('explicit', 'hebbian', 'crystallized')", "kind <> 'explicit'")
 
 
 @query(_sweep_sql(1000000).replace(*_SWEEP_EDGES))
@@ -572,15 +600,13 @@ def forgetting_bounded(spark, sf):
 
 
 def _cluster_edges(spark, sf):
-    """Links of every third memory to the next, near vectors, and some principles."""
-    linked = A.memories(spark, sf).where("id % 6 = 1").select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(1.0).alias("weight"), F.lit("explicit").alias("kind"))
+    """The whole graph, and near vectors."""
     near = vectors.semantic_edges(A.vectors(spark, sf)).select("src", "dst", "weight", F.lit("semantic").alias("kind"))
-    based = A.memories(spark, sf).where("id % 60 = 0").select(F.col("id").alias("src"), F.explode(F.array(F.col("id") + 1, F.col("id") + 2)).alias("dst"), F.lit(1.0).alias("weight"), F.lit("crystallized").alias("kind"))
-    return linked.unionByName(near).unionByName(based)
+    return A.graph_edges(spark, sf).select("src", "dst", "weight", "kind").unionByName(near)
 
 
 _CLUSTER_CONFIG = EngineConfig(expand_cos=0.35)
-_CLUSTER_SQL = _KNN_SQL.format(where="") + """, ce AS (SELECT id AS src, id + 1 AS dst, 1.0 AS weight, 'explicit' AS kind FROM mem WHERE id % 6 = 1 UNION ALL SELECT src, dst, weight, 'semantic' FROM sem UNION ALL SELECT id, unnest([id + 1, id + 2]), 1.0, 'crystallized' FROM mem WHERE id % 60 = 0),
+_CLUSTER_SQL = _KNN_SQL.format(where="") + """, ce AS (SELECT src, dst, weight, kind FROM edges UNION ALL SELECT src, dst, weight, 'semantic' FROM sem),
 ve AS (SELECT * FROM ce WHERE src IN (SELECT id FROM cur) AND dst IN (SELECT id FROM cur)),
 pk AS (SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM ve WHERE kind = 'explicit' AND weight >= 0.5),
 bothp AS (SELECT src, dst FROM pk UNION SELECT dst, src FROM pk),
@@ -593,7 +619,7 @@ cov AS (SELECT DISTINCT root FROM (SELECT g.root, b.principle, count(*) AS share
 
 
 def _cluster_sql(tail: str) -> str:
-    return sql(_CLUSTER_SQL + " " + tail, "vec", "mem", recursive=True)
+    return sql(_CLUSTER_SQL + " " + tail, "vec", "mem", "edges", recursive=True)
 
 
 @query(_cluster_sql("SELECT src, dst FROM pk"))
@@ -601,9 +627,9 @@ def peak_edges(spark, sf):
     return cluster.peak_edges(_cluster_edges(spark, sf), A.memories(spark, sf))
 
 
-@query(sql("WITH b AS (SELECT src, dst FROM explicit WHERE src % 40 < 20 UNION SELECT dst, src FROM explicit WHERE src % 40 < 20), w AS (SELECT src AS id, src AS root FROM b UNION SELECT b.dst, w.root FROM w JOIN b ON b.src = w.id) SELECT id, min(root) AS root FROM w GROUP BY id", "explicit", recursive=True))
+@query(sql("WITH b AS (SELECT src, dst FROM explicit UNION SELECT dst, src FROM explicit), w AS (SELECT src AS id, src AS root FROM b UNION SELECT b.dst, w.root FROM w JOIN b ON b.src = w.id) SELECT id, min(root) AS root FROM w GROUP BY id", "explicit", recursive=True))
 def components_min_label(spark, sf):
-    return graph.components(graph.explicit_edges(A.memories(spark, sf)).where("src % 40 < 20"))
+    return graph.components(graph.explicit_edges(A.memories(spark, sf)))
 
 
 @query(_cluster_sql("SELECT root, id FROM grown"))
@@ -635,7 +661,7 @@ def basis_overlap(spark, sf):
 
 @query(_cluster_sql(_CANDIDATES_TAIL.format(gone="AND k.src % 4 <> 1")))
 def dismissed_suppression(spark, sf):
-    gone = A.memories(spark, sf).where("id % 4 = 1").select((F.col("id") + 1).alias("src"), F.col("id").alias("dst"))
+    gone = graph.explicit_edges(A.memories(spark, sf)).where("src % 4 = 1").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     return _candidates(spark, sf, gone)
 
 
@@ -653,11 +679,11 @@ def _run(spark, sf, typed=False):
     """Vector search as a run; rows with the query's label are its golds."""
     q, v = A.vector_queries(spark, sf), A.vectors(spark, sf)
     found = vectors.cosine_search(v, q if typed else q.drop("type"), 10, exclude_self=True)
-    golds = q.select("query_id", "type").join(v.select("id", "type"), "type").where("id <> query_id and id % 3 = 0").select("query_id", "id")
+    golds = q.select("query_id", "type").join(v.select("id", "type"), "type").where("id <> query_id").select("query_id", "id")
     return found, golds
 
 
-_EVAL_SQL = """WITH gold AS (SELECT query_id, id FROM qv JOIN vec ON qtype = type WHERE id <> query_id AND id % 3 = 0),
+_EVAL_SQL = """WITH gold AS (SELECT query_id, id FROM qv JOIN vec ON qtype = type WHERE id <> query_id),
 run AS (SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, id) AS rank FROM sims WHERE id <> query_id) WHERE rank <= 10),
 typed AS (SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, id) AS rank FROM sims WHERE id <> query_id AND type = qtype) WHERE rank <= 10),
 asked AS (SELECT DISTINCT query_id FROM qv),

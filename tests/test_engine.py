@@ -87,6 +87,31 @@ def test_versions_are_whole(spark, engine):
     assert engine.snapshots.version() != first and old.count() == 1
 
 
+def test_two_writers_and_lost_lists(spark, engine, tmp_path):
+    """Of two writers from one version the later fails, and tables without a list of versions are no new store."""
+    engine.remember([{"type": "user", "title": "a", "body": "x"}])
+    seen = engine.snapshots._current()
+    engine.remember([{"type": "user", "title": "b", "body": "x"}])
+    late = Engine(spark, engine.snapshots.path, engine.config)
+    late.snapshots._current = lambda: seen
+    with pytest.raises(RuntimeError, match="another writer"):
+        late.snapshots.write({})
+    assert engine.status()["memories"] == 2
+    (tmp_path / "store" / "versions").rename(tmp_path / "away")
+    with pytest.raises(RuntimeError, match="no list of versions"):
+        engine.tables()
+
+
+def test_recall_with_tags_limit_and_budget(spark, engine):
+    engine.remember([{"type": "user" if i % 2 else "project", "title": f"t{i}", "body": "soup" if i < 6 else "x", "tags": "k" if i % 3 == 0 else "", "links": [i - 1] if i > 1 else []} for i in range(1, 12)])
+    q = spark.createDataFrame([(0, " ", ["k"], "user"), (1, "", [], None), (2, "soup", [], None)], "query_id long, text string, tags array<string>, type string")
+    rows = engine.recall(q, budget=8).collect()
+    assert [r.id for r in sorted((r for r in rows if r.query_id == 0), key=lambda r: r.rank)] == [9, 3]
+    assert not [r for r in rows if r.query_id == 1] and any(r.via.path for r in rows if r.query_id == 2)
+    few = engine.recall(q, limit=2, budget=0).collect()
+    assert sorted((r.query_id, r.rank) for r in few) == [(0, 1), (0, 2), (2, 1), (2, 2)] and not any(r.via and r.via.path for r in few)
+
+
 def test_command_line(spark, tmp_path, capsys):
     store, out = f"file://{tmp_path}/a", f"{tmp_path}/out"
     Engine(spark, store).remember([{"type": "user", "title": "one", "body": "1", "tags": "t"}, {"type": "project", "title": "two", "body": "2"}])

@@ -176,12 +176,17 @@ def test_spread_as_the_model(spark):
         for x, y in ((a, b), (b, a)):
             if y != 7:
                 around.setdefault(x, []).append((y, w * weight[k], k))
-    starts = {1: {1: 1.0, 4: 0.3}, 2: {9: 0.5}, 3: {20: 0.00005}}
+    type_of = {i: ("user" if i % 3 else "project") for i in range(1, 25)}
+    m = m.withColumn("type", F.when(F.col("id") % 3 != 0, "user").otherwise("project"))
+    starts = {1: {1: 1.0, 4: 0.3}, 2: {9: 0.5}, 3: {20: 0.00005}, 4: {1: 1.0, 4: 0.3}}
+    wanted = {4: "user"}  # a batch with a query of one type among others
+    types = spark.createDataFrame([(q, wanted.get(q)) for q in starts], "query_id long, type string")
     s = spark.createDataFrame([(q, i, a) for q, own in starts.items() for i, a in own.items()], "query_id long, id long, activation double")
     for budget in (0, 1, 5):
-        out = graph.spread(s, edge(spark, rows), m, budget=budget).collect()
+        out = graph.spread(s, edge(spark, rows), m, budget=budget, types=types).collect()
         for q, start in starts.items():
-            act, receipts = plain_spread(start, around, budget)
+            near = {i: [x for x in own if wanted.get(q) in (None, type_of[x[0]])] for i, own in around.items()}
+            act, receipts = plain_spread(start, near, budget)
             mine = {r.id: r for r in out if r.query_id == q}
             assert mine.keys() == act.keys()
             assert all(math.isclose(mine[i].activation, a, rel_tol=1e-9) for i, a in act.items())
@@ -237,7 +242,7 @@ def test_upsert(spark):
     after, actions = store.upsert(m, ops(spark, [("user", "  prefers   tdd ", "new", [3, 2]), ("project", "B", "first", []), ("project", "A", "a", []), ("project", "b ", "second", [1])]))
     assert sorted((r.id, r.action) for r in actions.collect()) == [(3, "updated"), (8, "created"), (9, "created")]
     rows = {r.id: r for r in after.collect()}
-    assert rows[3].body == "new" and rows[3].links == [2, 3, 10] and rows[3].created_at < rows[3].updated_at
+    assert rows[3].body == "new" and rows[3].links == [10, 2, 3] and rows[3].created_at < rows[3].updated_at
     assert rows[8].body == "second" and rows[8].links == [1] and rows[9].title == "A" and rows[7].valid_to is not None
     with pytest.raises(Exception, match="type must be"):
         store.upsert(m, ops(spark, [("other", "x", "", [])]))[0].collect()
@@ -343,6 +348,26 @@ def test_tags(spark):
     assert [r.id for r in recall.by_tags(m, ["a"]).collect()] == [2, 1] and [r.id for r in recall.by_tags(m, ["c", "a"]).collect()] == [1]
 
 
+def test_typed_recall_gives_its_type_only(spark):
+    """Seeds, primed rows and rows that the walk reaches, in a batch with a query of any type."""
+    m = mem(spark, [{"id": 1, "type": "user", "body": "rare word"}, {"id": 2, "type": "project"}, {"id": 3, "type": "user"}, {"id": 4, "type": "project"}, {"id": 5, "type": "user"}])
+    e = edge(spark, [(1, 2, "explicit", 1), (1, 3, "explicit", 1), (2, 5, "explicit", 1)])
+    q = spark.createDataFrame([(1, "rare", "user"), (2, "rare", None)], "query_id long, text string, type string")
+    members = spark.createDataFrame([("s", 4, 1.0), ("s", 3, 0.5)], "session_id string, memory_id long, activation double")
+    asked = spark.createDataFrame([(1, "s"), (2, "s")], "query_id long, session_id string")
+    got = {}
+    for r in recall.recall(m, e, q, members, asked).collect():
+        got.setdefault(r.query_id, set()).add(r.id)
+    assert got == {1: {1, 3}, 2: {1, 2, 3, 4, 5}}
+
+
+def test_recall_by_tags_alone(spark):
+    m = mem(spark, [{"id": 1, "tags": ["a", "b"], "type": "user"}, {"id": 2, "tags": ["a"], "s": 9}, {"id": 3, "tags": ["b", "a"], "s": 5}, {"id": 4, "tags": ["a", "b"], "to": 3}])
+    q = spark.createDataFrame([(1, ["a"], None), (2, ["b", "a"], None), (3, ["a"], "user"), (4, [], None), (5, None, None)], "query_id long, tags array<string>, type string")
+    got = sorted((r.query_id, r.rank, r.id) for r in recall.recall_by_tags(m, q).collect())
+    assert got == [(1, 1, 2), (1, 2, 3), (1, 3, 1), (2, 1, 3), (2, 2, 1), (3, 1, 1)]
+
+
 def test_recall_queries_have_the_default_budget(spark, sf, monkeypatch):
     from recollect.plans.catalog import QUERIES
 
