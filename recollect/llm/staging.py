@@ -19,8 +19,10 @@ __all__ = ["ID_BUCKETS", "drop_path", "fresh_path", "shared_dir", "ship", "stage
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder: ``spark.checkpoint.dir`` where it is set, else a folder of this machine (tests only)."""
+    """The shared folder: ``spark.checkpoint.dir`` where it is set, else, in a session of one machine only, a folder of that."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not named:
         named = "file://" + tempfile.mkdtemp(prefix="recollect-")
         spark.sparkContext.setCheckpointDir(named)
