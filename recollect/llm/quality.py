@@ -6,7 +6,7 @@ of whole documents only, weighs the passages; the weighted mean of their encodin
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +20,9 @@ PASSAGE = 512
 #: Buckets of a passage's byte pairs, sizes of the encoding and of the attention.
 PAIRS, HIDDEN, GATE = 512, 32, 16
 FEATURES = 256 + PAIRS + 2
-#: The training sample: documents of each class at most, and passages of each of these at most, evenly spread.
-SAMPLE_PER_CLASS, SAMPLE_PASSAGES = 1500, 64
+#: The training sample: labelled documents of each class at most, and bytes of all their texts at most. Every passage of
+#: every document of it is used.
+SAMPLE_PER_CLASS, SAMPLE_BYTES = 1500, 200_000_000
 THRESHOLD = 0.3
 _SLAB = 2048  # passages that are encoded at once
 
@@ -54,6 +55,16 @@ def passage_lengths(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lengths, counts
 
 
+def feature_slabs(texts: list[bytes]) -> Iterator[np.ndarray]:
+    """Features of all passages of whole texts, _SLAB passages at a time."""
+    lengths, _ = passage_lengths(np.array([len(t) for t in texts], np.int64))
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    ends = np.cumsum(lengths)
+    for k in range(0, len(lengths), _SLAB):
+        last = min(k + _SLAB, len(lengths))
+        yield features(data[ends[k] - lengths[k] : ends[last - 1]], lengths[k:last])
+
+
 class AttentionModel:
     """Passage encoder, gated attention and scorer, with their gradients."""
 
@@ -81,9 +92,10 @@ class AttentionModel:
     def score(self, h: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return _sigmoid((self.pooled(h, counts)[1] @ self.p["c"] + self.p["d"][0]).astype(np.float64))
 
-    def gradients(self, x: np.ndarray, counts: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
+    def gradients(self, slabs: Callable[[], Iterable[np.ndarray]], counts: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
+        """Gradients of the mean loss over whole bags; slabs: gives the features of all their passages, some at a time."""
         p = self.p
-        h = self.encode(x)
+        h = np.concatenate([self.encode(x) for x in slabs()])
         weight, z, t, s, begins = self.pooled(h, counts)
         out = _sigmoid(z @ p["c"] + p["d"][0])
         do = (out - labels).astype(np.float32) / len(labels)
@@ -93,19 +105,24 @@ class AttentionModel:
         dts = dlogit[:, None] * p["w"]
         dt, ds = dts * s * (1 - t * t), dts * t * s * (1 - s)
         dh = (weight[:, None] * dz + dt @ p["V"].T + ds @ p["U"].T) * (1 - h * h)
-        return {"W": x.T @ dh, "b": dh.sum(0), "V": h.T @ dt, "U": h.T @ ds, "w": (t * s).T @ dlogit, "c": z.T @ do, "d": do.sum(keepdims=True)}
-
-    def fit(self, x: np.ndarray, counts: np.ndarray, labels: np.ndarray, steps: int = 400, batch: int = 96, rate: float = 0.004, decay: float = 1e-4, seed: int = 11) -> AttentionModel:
-        """Adam on batches of bags, as many of either class."""
+        dw, at = np.zeros_like(p["W"]), 0
+        for x in slabs():
+            dw += x.T @ dh[at : at + len(x)]
+            at += len(x)
+        return {"W": dw, "b": dh.sum(0), "V": h.T @ dt, "U": h.T @ ds, "w": (t * s).T @ dlogit, "c": z.T @ do, "d": do.sum(keepdims=True)}
+
+    def fit(self, texts: list[bytes], labels: np.ndarray, steps: int = 400, batch: int = 96, rate: float = 0.004, decay: float = 1e-4, seed: int = 11) -> AttentionModel:
+        """Adam on batches of whole texts, as many of either class."""
         draw = np.random.default_rng(seed)
-        begins = np.concatenate(([0], np.cumsum(counts)))
         of = [np.flatnonzero(labels == k) for k in (0, 1)]
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
         for step in range(1, steps + 1):
             bags = np.concatenate([draw.choice(o, batch // 2) for o in of])
-            rows = np.concatenate([np.arange(begins[b], begins[b + 1]) for b in bags])
-            for k, g in self.gradients(x[rows], counts[bags], labels[bags]).items():
+            own = [texts[b] for b in bags]
+            counts = passage_lengths(np.array([len(t) for t in own], np.int64))[1]
+            few = list(feature_slabs(own)) if counts.sum() <= 4 * _SLAB else None  # made once where that is little
+            for k, g in self.gradients((lambda few=few: few) if few else (lambda own=own: feature_slabs(own)), counts, labels[bags]).items():
                 g = g + decay * self.p[k]
                 first[k] = 0.9 * first[k] + 0.1 * g
                 second[k] = 0.999 * second[k] + 0.001 * g * g
@@ -122,24 +139,21 @@ def score_texts(model: AttentionModel | float, texts: list[bytes]) -> np.ndarray
     """Scores of whole texts. In place of a model, a number is everyone's score."""
     if isinstance(model, float):
         return np.full(len(texts), model)
-    sizes = np.array([len(t) for t in texts], np.int64)
-    lengths, counts = passage_lengths(sizes)
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    ends = np.cumsum(lengths)
-    h = np.empty((len(lengths), HIDDEN), np.float32)
-    for k in range(0, len(lengths), _SLAB):
-        last = min(k + _SLAB, len(lengths))
-        h[k:last] = model.encode(features(data[ends[k] - lengths[k] : ends[last - 1]], lengths[k:last]))
-    return model.score(h, counts)
+    counts = passage_lengths(np.array([len(t) for t in texts], np.int64))[1]
+    return model.score(np.concatenate([model.encode(x) for x in feature_slabs(texts)]), counts)
 
 
 def held_out(doc_id) -> F.Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = SAMPLE_PER_CLASS) -> AttentionModel | float:
-    """Fit on at most ``per_class`` labelled documents of each class, chosen by a hash of their ids among those that
-    are not held out. Without rows of both classes it gives the one class seen, or 0.5, as everyone's score.
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = SAMPLE_PER_CLASS, most_bytes: int = SAMPLE_BYTES) -> AttentionModel | float:
+    """Fit on whole texts of at most ``per_class`` labelled documents of each class, chosen by a hash of their ids among
+    those that are not held out; a document that would bring the texts beyond ``most_bytes`` is left out.
+
+    Null texts count as empty. Rows that repeat an id give a text each. Labels without an id or other than 0 and 1 are
+    passed over; of several for an id the least counts. Without rows of both classes it gives the one class seen, or
+    0.5, as everyone's score.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -149,33 +163,29 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     wanted = {r.doc_id: r.label for p in picked for r in p.collect()}
     if not wanted:
         return 0.5
-    ids = spark.createDataFrame(sorted(wanted.items()), "doc_id long, label int")
-
-    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = []
-            for text in batch.column(2):
-                data = (text.as_py() or "").encode("utf-8", "surrogatepass")
-                parts = [data[k : k + PASSAGE] for k in range(0, len(data), PASSAGE)] or [b""]
-                step = max(1.0, len(parts) / SAMPLE_PASSAGES)
-                own.append([parts[int(k * step)] for k in range(min(len(parts), SAMPLE_PASSAGES))])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.list_(pa.binary()))], names=["doc_id", "label", "passages"])
-
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "doc_id").select("doc_id", "label", "text")
-    rows = sorted(texts.mapInArrow(some, "doc_id long, label int, passages array<binary>").collect(), key=lambda r: (r.doc_id, [bytes(p) for p in r.passages]))
-    if len({r.label for r in rows}) < 2:
-        return float(rows[0].label) if rows else 0.5
-    counts = np.array([len(r.passages) for r in rows])
-    flat = [bytes(p) for r in rows for p in r.passages]
-    x = features(np.frombuffer(b"".join(flat), np.uint8), np.array([len(p) for p in flat], np.int64))
-    return AttentionModel().fit(x, counts, np.array([r.label for r in rows], np.float32))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    of = lambda ids: texts.join(F.broadcast(spark.createDataFrame([(i,) for i in ids], "doc_id long")), "doc_id")
+    sizes = of(sorted(wanted)).groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("n"), F.xxhash64("doc_id").alias("place")).collect()
+    chosen, total = [], 0
+    for r in sorted(sizes, key=lambda r: (r.place, r.doc_id)):
+        if total + r.n <= most_bytes:
+            chosen.append(r.doc_id)
+            total += r.n
+    if not chosen:
+        return 0.5
+    rows = sorted(((r.doc_id, r.text.encode("utf-8", "surrogatepass")) for r in of(sorted(chosen)).collect()))
+    marks = np.array([wanted[i] for i, _ in rows], np.float32)
+    if marks.min() == marks.max():
+        return float(marks[0])
+    return AttentionModel().fit([t for _, t in rows], marks)
 
 
 def score_quality(docs: DataFrame, model: AttentionModel | float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted.
 
     Every passage of every whole text is scored. Null texts count as empty, and an empty text is one empty passage.
-    Rows are independent; an empty table gives an empty one.
+    Rows are independent, so repeated ones repeat their result; an empty table gives an empty one. A null id stays, with
+    null as held_out. Other columns are not read, whatever their names.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -205,7 +215,11 @@ def scored(texts: pa.Array, model: AttentionModel | float, most: int = 2_000_000
 
 
 def keep_good(docs: DataFrame, model: AttentionModel | float, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the model does not reject, with all their columns."""
+    """The rows of ``docs`` that the model does not reject, with all their columns, whatever their names.
+
+    Null texts count as empty; equal texts share their fate, rows without an id are judged like others, and an empty
+    table stays empty.
+    """
     ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text_col)

@@ -470,7 +470,7 @@ def test_quality_gradients_and_held_out_accuracy(spark, sf):
         s = model.score(model.encode(x), counts)
         return -np.mean(labels * np.log(s) + (1 - labels) * np.log(1 - s))
 
-    grads = model.gradients(x, counts, labels)
+    grads = model.gradients(lambda: iter([x[:4], x[4:]]), counts, labels)
     for name in ("W", "V", "U", "w", "c", "d", "b"):
         p = model.p[name]
         at = tuple(int(draw.integers(0, s)) for s in p.shape)
@@ -489,6 +489,48 @@ def test_quality_gradients_and_held_out_accuracy(spark, sf):
     assert np.mean([p == y for p, y in judged]) > 0.93
 
 
+def test_quality_against_brute_force(spark):
+    """Scores of whole texts of all kinds, passage by passage in plain numbers."""
+    model = quality.AttentionModel(seed=4)
+    texts = [None, "", "x", "é" * 700, "word " * 400_000, "a" * 512, "b" * 513, "x"]
+    docs = spark.createDataFrame([(i if i else None, t, 0.5) for i, t in enumerate(texts)], "doc_id long, text string, score double").repartition(2)
+    got = {(r.doc_id, r.held_out): r.score for r in quality.score_quality(docs, model).collect()}
+    assert len(got) == len(texts)
+    p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    for i, text in enumerate(texts):
+        data = (text or "").encode()
+        parts = [data[k : k + 512] for k in range(0, len(data), 512)] or [b""]
+        h = []
+        for own in dict.fromkeys(parts):
+            x, pairs = np.zeros(quality.FEATURES), [((a * 40503 + b * 2654435) >> 4) & 511 for a, b in itertools.pairwise(own)]
+            for a in own:
+                x[a] += 1
+            for a in pairs:
+                x[256 + a] += 1
+            n = max(1, len(own))
+            x = np.concatenate((np.sqrt(x[:-2] / n), [np.sqrt(len(set(pairs)) / n), n / 512]))
+            h.append((own, np.tanh(x @ p["W"] + p["b"])))
+        h = np.array([dict(h)[own] for own in parts])
+        weight = np.exp((np.tanh(h @ p["V"]) / (1 + np.exp(-(h @ p["U"])))) @ p["w"])
+        z = (weight[:, None] * h).sum(0) / weight.sum()
+        want = 1 / (1 + np.exp(-(z @ p["c"] + p["d"][0])))
+        key = (i, zlib.crc32(str(i).encode()) % 5 == 0) if i else (None, None)
+        assert abs(got[key] - want) < 1e-4, i
+
+
+def test_training_uses_whole_texts(spark, monkeypatch):
+    """Every byte of the labelled texts comes to the model; only the number of rows and of bytes is bounded."""
+    seen = []
+    monkeypatch.setattr(quality.AttentionModel, "fit", lambda self, texts, labels: seen.append(texts) or self)
+    docs = spark.createDataFrame([(i, "w" * (100_000 if i == 7 else 10)) for i in range(1, 40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 40)], "doc_id long, quality int")
+    learn = {i for i in range(1, 40) if zlib.crc32(str(i).encode()) % 5}
+    quality.train(docs, labels)
+    assert sorted(map(len, seen[0])) == sorted([100_000 if i == 7 else 10 for i in learn])
+    quality.train(docs, labels, most_bytes=1000)
+    assert sorted(map(len, seen[1])) == [10] * len(learn - {7})
+
+
 def test_pipeline_decisions(spark, sf):
     import corpus_pipeline as c
 
