@@ -2,18 +2,16 @@
 
 The tagger is a bidirectional LSTM with CRF transitions, trained here in numpy from labelled spans in generated
 sentences, whose forms go beyond the patterns (bracketed or spaced numbers, obfuscated addresses, six groups of
-colons). Windows that overlap are laid over the whole text and decoded each by itself. A window without a digit, an at
-sign or the word ``at`` is passed over, as no span within it can be plausible. Where a span runs into a window's edge
-and no other window has it whole, a wider window is decoded, up to the whole text; such a search begins only from
-windows that are not passed over, which hold some part of every plausible span. The spans of all windows and the
-patterns' spans are reconciled over the whole text.
+colons). Windows that overlap are laid over the whole text, and every one is decoded by itself. Where a span runs into a
+window's edge and no other window has it whole, a wider window is decoded, up to the whole text. The spans of all
+windows and the patterns' spans are reconciled over the whole text; an exact check of its kind follows for each span.
 """
 
 from __future__ import annotations
 
 import random
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
@@ -24,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .spans import Span, best_set, in_order, joined, sha256
-from .staging import ship
+from .staging import ship, trimmed
 
 KINDS = ("email", "ip", "card", "phone")
 #: Fixed patterns of the contract.
@@ -76,25 +74,32 @@ def base_spans(text: str) -> list[Span]:
 
 # --- labelled sentences ---------------------------------------------------------------------------------------
 
-SENTENCES, SEED = 4000, 20240502
+SENTENCES, SEED = 8000, 20240502
 #: Characters that the tagger tells apart; others are one of lower-case, upper-case or rest.
 SYMBOLS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 \n.,;:!?@()[]{}<>+-_/\\'\"#$%&*=|~^`"
 CODE = {c: i + 3 for i, c in enumerate(SYMBOLS)}
 #: 0 outside, then begin and inside of each kind.
 TAGS = 1 + 2 * len(KINDS)
-#: Length of the labelled sentences; then of the windows over texts, which overlap by half.
+#: Length of the labelled sentences; then of the windows over texts, and how far each begins behind the one before.
 WINDOW = 96
-SPAN_WINDOW, STRIDE = 192, 96
+SPAN_WINDOW, STRIDE = 448, 384
+
+
+@lru_cache(maxsize=1)
+def _code_table() -> np.ndarray:
+    """The code of every character of the first plane; what lies beyond is rest."""
+    return np.array([CODE.get(c, 0 if c.islower() else 1 if c.isupper() else 2) for c in map(chr, range(0x10000))] + [2], np.uint8)
 
 
 def codes(text: str) -> np.ndarray:
-    return np.array([CODE.get(c, 0 if c.islower() else 1 if c.isupper() else 2) for c in text], np.int64)
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    return _code_table()[np.minimum(points, 0x10000)]
 
 
 def labelled_sentences(n: int = SENTENCES, seed: int = SEED) -> list[tuple[str, list[Span]]]:
     """Texts of about a window, each with its labelled spans."""
     draw = random.Random(seed)
-    syllables = "the and ing ion ent for ver con pro dis ment able ung keit lich ein aux eau que mente ado ar ie da to in er on wh st re".split()
+    syllables = "the and ing ion ent for ver con pro dis ment able ung keit lich ein aux eau que mente ado ar ie da to in er on wh st re é è ê ç ñ ü ö ä ß ción là été für über É Ü Ñ".split()
     word = lambda: "".join(draw.choice(syllables) for _ in range(draw.randint(1, 3)))
     d = lambda k: "".join(str(draw.randint(0, 9)) for _ in range(k))
     hexa = lambda k: "".join(draw.choice("0123456789abcdef") for _ in range(k))
@@ -119,10 +124,11 @@ def labelled_sentences(n: int = SENTENCES, seed: int = SEED) -> list[tuple[str,
         return draw.choice((f"+1 ({a}) {b}-{c}", f"+{d(2)} {d(3)} {d(3)} {d(3)}", f"({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}-{b}-{c}", f"001 {a} {b} {c}"))
 
     def other() -> str:
-        k = draw.randrange(12)
+        k = draw.randrange(14)
         return (
             f"20{d(2)}-{draw.randint(1, 12):02}-{draw.randint(1, 28):02}", f"{draw.randint(1, 28)}.{draw.randint(1, 12)}.20{d(2)}", f"${d(2)}.{d(2)}", f"{draw.randint(0, 23)}:{draw.randint(0, 59):02}:{draw.randint(0, 59):02}", d(draw.randint(1, 8)), f"v{draw.randint(0, 9)}.{draw.randint(0, 30)}.{draw.randint(0, 9)}",
             f"password={hexa(18)}", f'token = "{hexa(40)}"', "AKIA" + "".join(draw.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16)), f"{d(1)},{d(3)},{d(3)}", f"@{word()}", f"{d(2)}% #{d(3)} {d(2)}-{d(2)}",
+            draw.choice("-=_*#") * draw.randint(3, 30), draw.choice((f"“{word()}”", f"« {word()} »", f"– {word()}", f"漢字 {word()}", f"{d(2)} €")),
         )[k]
 
     makers = {"email": email, "ip": ip, "card": card, "phone": phone}
@@ -146,17 +152,12 @@ def labelled_sentences(n: int = SENTENCES, seed: int = SEED) -> list[tuple[str,
         if shift and not any(s[1] < shift for s in spans):
             text, spans = text[shift:], [(k, a - shift, b - shift) for k, a, b in spans]
         spans = [s for s in spans if s[2] <= WINDOW]
-        cut = min([WINDOW, *(s[1] for s in _beyond(text, spans, makers))])
+        # a text of more than a window ends where it cuts no label
+        cut = min(WINDOW, max(max((x[2] for x in spans), default=0), text.rfind(" ", 0, WINDOW))) if len(text) > WINDOW else WINDOW
         out.append((text[:cut], [s for s in spans if s[2] <= cut]))
     return out
 
 
-def _beyond(text: str, spans: list[Span], makers: dict) -> list[Span]:
-    """The stretch, if any, at which a text's window must end so that it cuts no label: after the last whole span's neighbourhood."""
-    last = max((s[2] for s in spans), default=0)
-    return [("", max(last, text.rfind(" ", 0, WINDOW)), 0)] if len(text) > WINDOW else []
-
-
 def tag_row(text: str, spans: list[Span]) -> np.ndarray:
     tags = np.zeros(len(text), np.int64)
     for kind, a, b in spans:
@@ -168,7 +169,7 @@ def tag_row(text: str, spans: list[Span]) -> np.ndarray:
 
 # --- the tagger -----------------------------------------------------------------------------------------------
 
-EMBED, HIDDEN = 16, 24
+EMBED, HIDDEN = 12, 16
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -293,40 +294,122 @@ class Tagger:
                     self.p[name] = (self.p[name] - pace * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
         return self
 
+    def _lean(self) -> dict[str, np.ndarray]:
+        """Weights for decoding: columns are windows, sigmoids are halves of hyperbolic tangents, and states are twice
+        as large, so that one array of gates needs one pass; tags are scored against staying outside."""
+        if "_held" not in self.__dict__:
+            p, held = self.p, {"E": np.ascontiguousarray(self.p["E"].T)}
+            half = np.concatenate((np.full(3 * HIDDEN, 0.5), np.ones(HIDDEN))).astype(np.float32)
+            against = p["O"][:, 1:] - p["O"][:, :1]
+            for k, side in enumerate("fb"):
+                w = np.concatenate((0.5 * p[f"H{side}"], p[f"X{side}"], p[f"c{side}"][None])) * half
+                held |= {f"W{side}": np.ascontiguousarray(w.T), f"O{side}": np.ascontiguousarray(0.5 * against[k * HIDDEN : (k + 1) * HIDDEN].T)}
+            held["o"] = (p["o"][1:] - p["o"][0])[:, None]
+            self._held = held
+        return self._held
+
+    def _pass(self, x: np.ndarray, side: str) -> np.ndarray:
+        """(time, tag, window): what one direction gives for the tags, over windows (time, window) in its own order."""
+        held, n = self._lean(), x.shape[1]
+        w, table, o = held[f"W{side}"], held["E"], held[f"O{side}"]
+        state = np.zeros((HIDDEN + EMBED + 1, n), np.float32)
+        state[-1] = 1
+        h, e = state[:HIDDEN], state[HIDDEN:-1]
+        a, c, tc = np.empty((4 * HIDDEN, n), np.float32), np.zeros((HIDDEN, n), np.float32), np.empty((HIDDEN, n), np.float32)
+        inside, forget, output, fresh = (a[k * HIDDEN : (k + 1) * HIDDEN] for k in range(4))
+        gates = a[: 3 * HIDDEN]
+        out = np.empty((len(x), TAGS - 1, n), np.float32)
+        for t in range(len(x)):
+            np.take(table, x[t], axis=1, out=e, mode="clip")
+            np.matmul(w, state, out=a)
+            np.tanh(a, out=a)
+            gates += 1
+            c *= forget
+            inside *= fresh
+            c += inside
+            c *= 0.5
+            np.tanh(c, out=tc)
+            np.multiply(output, tc, out=h)
+            np.matmul(o, h, out=out[t])
+        return out
+
+    def scores(self, rows: list[np.ndarray]) -> np.ndarray:
+        """(time, tag, window): scores of the tags but the first against it, for windows of codes, in one batch."""
+        sizes = np.array([len(r) for r in rows])
+        steps = int(sizes.max(initial=0))
+        x, back = np.zeros((2, len(rows), steps), np.intp)
+        for r, own in enumerate(rows):
+            x[r, : len(own)] = own
+            back[r, : len(own)] = own[::-1]
+        out, other = self._pass(np.ascontiguousarray(x.T), "f"), self._pass(np.ascontiguousarray(back.T), "b")
+        if (sizes == steps).all():
+            out += other[::-1]
+        else:
+            at = np.maximum(sizes[None, :] - 1 - np.arange(steps)[:, None], 0)
+            out += np.take_along_axis(other, at[:, None, :], 0)
+        out += self._lean()["o"]
+        out[np.broadcast_to((np.arange(steps)[:, None] >= sizes[None, :])[:, None, :], out.shape)] = -1e4
+        return out
+
     def decode(self, rows: list[np.ndarray]) -> list[list[tuple[int, int, float, str]]]:
         """Best tag sequence of each window, as spans (start, end, margin over staying outside, kind)."""
-        x, mask = batch_of(rows)
-        scores, _ = self.emissions(x, mask)
+        scores = self.scores(rows)
         trans = self.p["T"] + self.barred
-        steps, n = x.shape
+        out: list[list[tuple[int, int, float, str]]] = [[] for _ in rows]
+        open_ = np.flatnonzero(self._can_gain(scores, trans)) if len(scores) else np.empty(0, int)
+        for k in range(0, len(open_), 256):
+            some = open_[k : k + 256]
+            for r, spans in zip(some.tolist(), self._search(scores[:, :, some], [len(rows[r]) for r in some], trans), strict=True):
+                out[r] = spans
+        return out
+
+    def _can_gain(self, against: np.ndarray, trans: np.ndarray) -> np.ndarray:
+        """Whether a window may hold any span: the most that a span of each kind can gain over staying outside.
+
+        A span pays its entry from outside and its exit; an exit into another span counts with what exceeds that one's
+        entry from outside, so a sequence gains no more than its spans by themselves. Where none can gain, the best
+        sequence is all outside, and the chain need not be searched.
+        """
+        own = trans - trans[0, 0]
+        begin, inside = np.arange(1, TAGS, 2), np.arange(2, TAGS, 2)
+        enter = own[0, begin]
+        leave = [np.maximum(own[at, 0], (own[at][:, begin] - enter).max(1))[:, None] for at in (begin, inside)]
+        further, again = own[begin, inside][:, None], own[inside, inside][:, None]
+        first = against[:, 0::2] + enter[:, None]
+        first[0] = against[0, 0::2]  # a sequence may begin within a span, and end so
+        run = np.full(first.shape[1:], -1e4, np.float32)
+        most, met = run.copy(), np.empty_like(run)
+        for t in range(1, len(first)):
+            np.add(first[t - 1], further, out=met)
+            run += again
+            np.maximum(run, met, out=run)
+            run += against[t, 1::2]
+            np.maximum(most, run, out=most)
+        return ((first.max(0) + leave[0] > 0) | (most + leave[1] > 0) | (first[-1] > 0) | (run > 0)).any(0)
+
+    def _search(self, against: np.ndarray, sizes: list[int], trans: np.ndarray) -> list[list[tuple[int, int, float, str]]]:
+        steps, _, n = against.shape
+        scores = np.concatenate((np.zeros((steps, n, 1), np.float32), against.transpose(0, 2, 1)), 2)
         start = np.array([0.0 if j == 0 or j % 2 else -1e4 for j in range(TAGS)], np.float32)
         best = scores[0] + start
         came = np.zeros((steps, n, TAGS), np.int8)
         for t in range(1, steps):
-            options = best[:, :, None] + trans
-            came[t] = options.argmax(1)
-            new = options.max(1) + scores[t]
-            live = mask[t][:, None] > 0
-            best = np.where(live, new, best)
-            came[t] = np.where(live, came[t], np.arange(TAGS, dtype=np.int8))
+            options = best[:, None, :] + trans.T
+            came[t] = options.argmax(2)
+            best = options.max(2) + scores[t]  # behind a window's end all but the first tag are out of reach
         tag = best.argmax(1)
         path = np.zeros((steps, n), np.int64)
         for t in range(steps - 1, -1, -1):
             path[t] = tag
             tag = came[t][np.arange(n), tag]
         out: list[list[tuple[int, int, float, str]]] = []
-        for r, own in enumerate(rows):
-            tags, spans, k = path[: len(own), r], [], 0
-            while k < len(own):
-                if tags[k] % 2:
-                    end = k + 1
-                    while end < len(own) and tags[end] == tags[k] + 1:
-                        end += 1
-                    margin = float((scores[range(k, end), r, tags[k:end]] - scores[k:end, r, 0]).mean())
-                    spans.append((k, end, margin, KINDS[tags[k] // 2]))
-                    k = end
-                else:
-                    k += 1
+        for r, size in enumerate(sizes):
+            tags, spans, k = path[:size, r], [], 0
+            for k in np.flatnonzero(tags % 2).tolist():
+                end = k + 1
+                while end < size and tags[end] == tags[k] + 1:
+                    end += 1
+                spans.append((k, end, float(scores[range(k, end), r, tags[k:end]].mean()), KINDS[tags[k] // 2]))
             out.append(spans)
         return out
 
@@ -349,26 +432,20 @@ def batch_of(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 @lru_cache(maxsize=1)
 def trained() -> Tagger:
     """Fitted once per process from the same sentences."""
-    return Tagger().fit(labelled_sentences())
+    return Tagger().fit(labelled_sentences(), epochs=8, rate=0.02)
 
 
 # --- whole texts ----------------------------------------------------------------------------------------------
 
-#: Every plausible span has one of these.
-_ANCHOR = re.compile(r"[0-9@]|\bat\b", re.IGNORECASE)
 _SPELLED_AT = re.compile(r"\s*[(\[{<]\s*at\s*[)\]}>]\s*", re.IGNORECASE)
 _SPELLED_DOT = re.compile(r"\s*[(\[{<]\s*dot\s*[)\]}>]\s*", re.IGNORECASE)
 _HOST_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789.-")
 
 
-def windows(text: str) -> list[tuple[int, int]]:
-    """(start, end) of the windows over a text that can hold a plausible span."""
-    last = max(0, -(-(len(text) - SPAN_WINDOW) // STRIDE))
-    kept: set[int] = set()
-    for m in _ANCHOR.finditer(text):
-        a, b = m.span()
-        kept.update(range(max(0, -(-(b - SPAN_WINDOW) // STRIDE)), min(last, a // STRIDE) + 1))
-    return [(k * STRIDE, min(len(text), k * STRIDE + SPAN_WINDOW)) for k in sorted(kept)]
+def windows(length: int) -> list[tuple[int, int]]:
+    """(start, end) of the windows over a text of so many characters; they cover it and overlap."""
+    last = max(0, -(-(length - SPAN_WINDOW) // STRIDE))
+    return [(k * STRIDE, min(length, k * STRIDE + SPAN_WINDOW)) for k in range(last + 1)] if length else []
 
 
 def whole_address(text: str, a: int, b: int) -> tuple[int, int]:
@@ -425,13 +502,14 @@ def _wider(cut: list[tuple[int, int, int, int]], whole: list[tuple[int, int]], l
 def find_personal(texts: list[str], tagger: Tagger, rows_at_once: int = 512) -> list[tuple[list[Span], list[Span]]]:
     """The base spans and all spans of each text."""
     bases = [in_order(base_spans(t), KINDS) for t in texts]
-    laid = [(i, *w) for i, t in enumerate(texts) for w in windows(t)]
+    coded = [codes(t) for t in texts]
+    laid = [(i, *w) for i, t in enumerate(texts) for w in windows(len(t))]
     found: dict[int, list[tuple[int, int, float, str]]] = {}
     while laid:
         cut: dict[int, list[tuple[int, int, int, int]]] = {}
         laid.sort(key=lambda w: w[2] - w[1])
         for part in _portions(laid, rows_at_once):
-            for (i, a, b), spans in zip(part, tagger.decode([codes(texts[i][a:b]) for i, a, b in part]), strict=True):
+            for (i, a, b), spans in zip(part, tagger.decode([coded[i][a:b] for i, a, b in part]), strict=True):
                 for s, e, margin, kind in spans:
                     if (s or not a) and (e < b - a or b == len(texts[i])):
                         found.setdefault(i, []).append((a + s, a + e, margin, kind))
@@ -442,24 +520,40 @@ def find_personal(texts: list[str], tagger: Tagger, rows_at_once: int = 512) ->
     for i, t in enumerate(texts):
         base, more = bases[i], []
         if i in found:
+            starts, reach = [x[1] for x in base], list(accumulate((x[2] for x in base), max))
             votes: dict[tuple[int, int, str], float] = {}
             for a, b, margin, kind in found[i]:
                 if kind == "email":
                     a, b = whole_address(t, a, b)
                 a, b = a + len(t[a:b]) - len(t[a:b].lstrip(" \n,;")), b - len(t[a:b]) + len(t[a:b].rstrip(" \n,;."))
-                if margin > 0 and plausible(kind, t[a:b]) and not any(s < b and a < e for _, s, e in base):
+                if margin > 0 and a < b and plausible(kind, t[a:b]) and not ((k := bisect_left(starts, b)) and reach[k - 1] > a):
                     votes[a, b, kind] = votes.get((a, b, kind), 0.0) + margin
             more = [(kind, a, b) for a, b, _, kind in best_set([(a, b, v, kind) for (a, b, kind), v in votes.items()])]
         out.append((base, in_order(base + more, KINDS) if more else base))
     return out
 
 
+def _portions_of(batch: pa.RecordBatch, rows: int = 1024, chars: int = 4_000_000) -> Iterator[tuple[list, list[str]]]:
+    """Ids and texts, so many of both at once; a longer text comes alone."""
+    ids, texts, size = [], [], 0
+    for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        text = text.as_py() or ""
+        if texts and (len(texts) == rows or size + len(text) > chars):
+            yield ids, texts
+            ids, texts, size = [], [], 0
+        ids.append(doc)
+        texts.append(text)
+        size += len(text)
+    if texts:
+        yield ids, texts
+
+
 def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_email, n_ip, n_card, n_phone (of the patterns), base_sha256, spans, n_added.
 
     Positions are code points, ends exclusive; spans go by start, then kind. Null texts count as empty and have no
-    spans. Rows are independent: repeated rows repeat their result, an empty table gives an empty one. The tagger is
-    trained on the driver and its weights, of a fixed size, are broadcast.
+    spans. Rows are independent: repeated rows repeat their result, null ids stay, an empty table gives an empty one, and
+    other columns are not read, whatever their names. The tagger is trained on the driver and its weights, of a fixed size, are broadcast.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -468,16 +562,14 @@ def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def run(batches):
         for batch in batches:
             rows: list[tuple] = []
-            for k in range(0, batch.num_rows, 256):
-                ids, texts = (c.slice(k, 256).to_pylist() for c in batch.columns)
-                texts = [t or "" for t in texts]
+            for ids, texts in _portions_of(batch):
                 for doc, (base, every) in zip(ids, find_personal(texts, held.value), strict=True):
                     rows.append((doc, *(sum(s[0] == kind for s in base) for kind in KINDS), sha256(joined(base)), joined(every), len(every) - len(base)))
             columns = list(zip(*rows, strict=True)) or [()] * 8
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if n in ("base_sha256", "spans") else pa.int64()) for n, c in zip(_COLUMNS, columns, strict=True)], names=_COLUMNS)
 
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return plain.mapInArrow(run, ", ".join(f"{n} {'string' if n in ('base_sha256', 'spans') else 'long'}" for n in _COLUMNS))
+    return plain.mapInArrow(trimmed(run), ", ".join(f"{n} {'string' if n in ('base_sha256', 'spans') else 'long'}" for n in _COLUMNS))
 
 
 _COLUMNS = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"]
