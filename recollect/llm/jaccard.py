@@ -519,6 +519,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all columns, of one document of each component: that with the smallest id."""
+    """The rows of ``docs``, with all columns, whatever their names, of one document of each component: that with the
+    smallest id.
+
+    Texts that are null or have no words are linked with nothing and stay, as do rows without an id; rows that repeat an
+    id stay or go together. An empty table stays empty.
+    """
     gone = near_duplicates(docs, id_col, text_col).where("doc_id <> component_id").select("doc_id")
     return without_ids(docs, id_col, gone)

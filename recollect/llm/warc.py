@@ -10,6 +10,7 @@ import base64
 import hashlib
 import re
 import uuid
+import warnings
 import zlib
 from dataclasses import dataclass, field
 
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 from .staging import fresh_path, ship, stage
 
 SEGMENT = 16_000_000
+#: Bytes of a member that are read together; bytes that a record's headers can have at most.
+PORTION, HEADERS = 1 << 14, 1 << 20
 #: Buckets of page ids, of which those with revisits are broadcast.
 ID_BUCKETS = 1 << 20
 VERSION = b"WARC/1.1"
@@ -97,7 +100,7 @@ def _parse(data: bytes, at: int) -> tuple[Record, int]:
     version = _VERSION_LINE.match(data, at)
     if not version:
         raise Damaged("no version line")
-    close = data.find(b"\r\n\r\n", version.end() - 2)
+    close = data.find(b"\r\n\r\n", version.end() - 2, version.end() + HEADERS)
     if close < 0:
         raise Damaged("headers do not end")
     headers: dict[str, str] = {}
@@ -132,16 +135,27 @@ def _parse(data: bytes, at: int) -> tuple[Record, int]:
     return record, end + 4
 
 
-def _inflate(data: bytes, at: int) -> tuple[bytes, int]:
-    """The content of the gzip member that begins at a byte, and where it ends; its checksum has been compared."""
-    inflate = zlib.decompressobj(31)
-    try:
-        out = inflate.decompress(data[at:]) + inflate.flush()
-    except zlib.error as e:
-        raise Damaged(f"bad member: {e}") from None
+def _inflate(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """The content of the gzip member that begins at a byte, where it ends, and what is wrong with it, if anything.
+
+    It is read in portions, so that what is no member costs little; of a damaged one there is what came before the damage.
+    """
+    inflate, out, view, place = zlib.decompressobj(31), [], memoryview(data), at
+    while place < len(data) and not inflate.eof:
+        before = inflate.copy()
+        try:
+            out.append(inflate.decompress(view[place : place + PORTION]))
+            place += PORTION
+        except zlib.error as e:
+            try:  # byte by byte up to the damage
+                for place in range(place, len(data)):
+                    out.append(before.decompress(view[place : place + 1]))
+            except zlib.error:
+                pass
+            return b"".join(out), place, f"bad member: {e}"
     if not inflate.eof:
-        raise Damaged("the member does not end")
-    return out, len(data) - len(inflate.unused_data)
+        return b"".join(out), len(data), "the member does not end"
+    return b"".join(out), min(place, len(data)) - len(inflate.unused_data), ""
 
 
 def _records(inner: bytes) -> tuple[list[Record], str]:
@@ -164,12 +178,21 @@ def salvage(data: bytes) -> Salvaged:
 
     After a failed check the search goes on, one byte past where the bad record began, for the next version line or
     member that parses and passes. The bytes between are one gap of the log, with the first reason. Trailing
-    bytes that hold no record are a gap too. Empty data gives nothing. Of a member whose checksum is right, all sound
-    records are kept, and if some of it is none, the whole member is a gap as well. A member that does not inflate
-    to its end, or whose checksum is wrong, gives no records.
+    bytes that hold no record are a gap too. Empty data gives nothing. Of a member all records are kept that pass their
+    own checks, and if some of it is no record, the whole member is a gap as well; so are the bytes of a member that
+    does not inflate to its end or whose checksum is wrong, of which the sound records before the damage are kept.
     """
     out = Salvaged()
     at, bad, why = 0, -1, ""
+    ahead = [0, 0]  # the next member and version line, searched again when they are passed
+
+    def following(begin: int) -> int:
+        if 0 <= ahead[0] < begin:
+            ahead[0] = data.find(_MEMBER, begin)
+        if 0 <= ahead[1] < begin:
+            line = _VERSION_LINE.search(data, begin)
+            ahead[1] = line.start() if line else -1
+        return min((p for p in ahead if p >= begin), default=len(data))
 
     def close(end: int) -> None:
         nonlocal bad
@@ -180,12 +203,15 @@ def salvage(data: bytes) -> Salvaged:
     while at < len(data):
         try:
             if data.startswith(_MEMBER, at):
-                inner, end = _inflate(data, at)
+                inner, end, wrong = _inflate(data, at)
                 found, reason = _records(inner)
-                if not found:
-                    raise Damaged(reason or "an empty member")
                 for record in found:
                     record.start, record.end = at, end
+                if wrong:
+                    out.records += found
+                    raise Damaged(wrong)
+                if not found:
+                    raise Damaged(reason or "an empty member")
                 if reason:
                     close(at)
                     out.gaps.append((at, end, reason))
@@ -195,9 +221,7 @@ def salvage(data: bytes) -> Salvaged:
         except Damaged as e:
             if bad < 0:
                 bad, why = at, str(e)
-            line = _VERSION_LINE.search(data, at + 1)
-            nexts = [p for p in (data.find(_MEMBER, at + 1), line.start() if line else -1) if p >= 0]
-            at = min(nexts, default=len(data))
+            at = following(at + 1)
             continue
         close(at)
         out.records += found
@@ -300,10 +324,17 @@ def warc_roundtrip(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     """Write every row into archives and read these back: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
     Of equal payloads the row with the smallest id is the response and the others revisit it. Rows that repeat an id
-    and its payload get a record each, of the same type. Null payloads count as empty. An empty table writes no
-    archive and gives no rows.
+    and its payload get a record each, of the same type; rows without an id are left out, as no record could name them.
+    Null payloads count as empty. An empty table writes no archive and gives no rows. Other columns are not read,
+    whatever their names. Gaps that reading put in quarantine are written beside the archives, below ``<archives>-gaps``,
+    and told in a warning.
     """
     spark = pages.sparkSession
     path = fresh_path(spark, "archives")
-    write_archives(pages, path, id_col, url_col, payload_col, minimum)
-    return read_archives(spark, path).where("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    write_archives(pages.where(F.col(id_col).isNotNull()), path, id_col, url_col, payload_col, minimum)
+    found = stage(read_archives(spark, path).drop("payload"), "read-back")
+    gaps = found.where("kind = 'gap'").select("file", "start", "end", "reason")
+    if not gaps.isEmpty():
+        gaps.write.parquet(f"{path}-gaps")
+        warnings.warn(f"archives below {path} have gaps; see {path}-gaps", stacklevel=2)
+    return found.where("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
