@@ -138,21 +138,16 @@ def _parse(data: bytes, at: int) -> tuple[Record, int]:
 def _inflate(data: bytes, at: int) -> tuple[bytes, int, str]:
     """The content of the gzip member that begins at a byte, where it ends, and what is wrong with it, if anything.
 
-    It is read in portions, so that what is no member costs little; of a damaged one there is what came before the damage.
+    It is read in portions, so that what is no member costs little. Of a member that breaks off there is what it holds;
+    of one with a bad code or checksum nothing, as no check tells which of its records' headers are right.
     """
     inflate, out, view, place = zlib.decompressobj(31), [], memoryview(data), at
-    while place < len(data) and not inflate.eof:
-        before = inflate.copy()
-        try:
+    try:
+        while place < len(data) and not inflate.eof:
             out.append(inflate.decompress(view[place : place + PORTION]))
             place += PORTION
-        except zlib.error as e:
-            try:  # byte by byte up to the damage
-                for place in range(place, len(data)):
-                    out.append(before.decompress(view[place : place + 1]))
-            except zlib.error:
-                pass
-            return b"".join(out), place, f"bad member: {e}"
+    except zlib.error as e:
+        raise Damaged(f"bad member: {e}") from None
     if not inflate.eof:
         return b"".join(out), len(data), "the member does not end"
     return b"".join(out), min(place, len(data)) - len(inflate.unused_data), ""
@@ -180,7 +175,7 @@ def salvage(data: bytes) -> Salvaged:
     member that parses and passes. The bytes between are one gap of the log, with the first reason. Trailing
     bytes that hold no record are a gap too. Empty data gives nothing. Of a member all records are kept that pass their
     own checks, and if some of it is no record, the whole member is a gap as well; so are the bytes of a member that
-    does not inflate to its end or whose checksum is wrong, of which the sound records before the damage are kept.
+    breaks off, of which the sound records before its end are kept. A member with a bad code or checksum gives no records.
     """
     out = Salvaged()
     at, bad, why = 0, -1, ""
