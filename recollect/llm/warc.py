@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from .staging import fresh_path, ship, stage
 
 SEGMENT = 16_000_000
-#: Bytes of a member that are read together; bytes that a record's headers can have at most.
-PORTION, HEADERS = 1 << 14, 1 << 20
+#: Bytes of a member that are read together.
+PORTION = 1 << 14
 #: Buckets of page ids, of which those with revisits are broadcast.
 ID_BUCKETS = 1 << 20
 VERSION = b"WARC/1.1"
@@ -95,18 +95,33 @@ class Damaged(ValueError):
     """A record or member that fails a check."""
 
 
-def _parse(data: bytes, at: int) -> tuple[Record, int]:
+class Finder:
+    """The next place of something in data, for questions that move forward: it is searched again when it is passed."""
+
+    def __init__(self, find):
+        self.find, self.begin, self.place = find, 0, -2
+
+    def __call__(self, begin: int) -> int:
+        if self.place == -2 or begin < self.begin or 0 <= self.place < begin:
+            self.begin, self.place = begin, self.find(begin)
+        return self.place
+
+
+def _parse(data: bytes, at: int, end_of_headers) -> tuple[Record, int]:
     """The record that begins at a byte of uncompressed data, and where the next begins."""
     version = _VERSION_LINE.match(data, at)
     if not version:
         raise Damaged("no version line")
-    close = data.find(b"\r\n\r\n", version.end() - 2, version.end() + HEADERS)
+    close = end_of_headers(version.end() - 2)
     if close < 0:
         raise Damaged("headers do not end")
     headers: dict[str, str] = {}
-    name = ""
-    for line in data[version.end() : close].split(b"\r\n") if close >= version.end() else []:
-        text = line.decode("utf-8", "replace")
+    name, place = "", version.end()
+    while place < close:
+        stop = data.find(b"\r\n", place, close)
+        stop = close if stop < 0 else stop
+        text = data[place:stop].decode("utf-8", "replace")
+        place = stop + 2
         if text[:1] in (" ", "\t") and name:
             headers[name] += " " + text.strip()
             continue
@@ -157,9 +172,10 @@ def _records(inner: bytes) -> tuple[list[Record], str]:
     """The sound records of a member's content, and the first reason, if any, why some of it holds none."""
     found: list[Record] = []
     place, why = 0, ""
+    close = Finder(lambda begin: inner.find(b"\r\n\r\n", begin))
     while place < len(inner):
         try:
-            record, place = _parse(inner, place)
+            record, place = _parse(inner, place, close)
             found.append(record)
         except Damaged as e:
             why = why or str(e)
@@ -179,15 +195,11 @@ def salvage(data: bytes) -> Salvaged:
     """
     out = Salvaged()
     at, bad, why = 0, -1, ""
-    ahead = [0, 0]  # the next member and version line, searched again when they are passed
+    ends = Finder(lambda begin: data.find(b"\r\n\r\n", begin))
+    member_, line_ = Finder(lambda begin: data.find(_MEMBER, begin)), Finder(lambda begin: m.start() if (m := _VERSION_LINE.search(data, begin)) else -1)
 
     def following(begin: int) -> int:
-        if 0 <= ahead[0] < begin:
-            ahead[0] = data.find(_MEMBER, begin)
-        if 0 <= ahead[1] < begin:
-            line = _VERSION_LINE.search(data, begin)
-            ahead[1] = line.start() if line else -1
-        return min((p for p in ahead if p >= begin), default=len(data))
+        return min((p for p in (member_(begin), line_(begin)) if p >= 0), default=len(data))
 
     def close(end: int) -> None:
         nonlocal bad
@@ -211,7 +223,7 @@ def salvage(data: bytes) -> Salvaged:
                     close(at)
                     out.gaps.append((at, end, reason))
             else:
-                record, end = _parse(data, at)
+                record, end = _parse(data, at, ends)
                 found = [record]
         except Damaged as e:
             if bad < 0:
