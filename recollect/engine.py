@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -25,6 +27,7 @@ class Engine:
 
     def __init__(self, spark: SparkSession, path: str, config: EngineConfig | None = None, embedder: Callable | None = None):
         self.spark, self.snapshots, self.embedder = spark, Snapshots(spark, path), embedder
+        self._process, self._offered = uuid.uuid4().hex, None
         self.config = config or EngineConfig.read(conf={k: spark.conf.get(k) for k in (f"recollect.{n}" for n in EngineConfig.__dataclass_fields__) if spark.conf.get(k, None) is not None})
 
     def tables(self) -> dict[str, DataFrame]:
@@ -153,6 +156,45 @@ class Engine:
             self.snapshots.write({"memories": store.forget(tables["memories"], ids, self._now(now)), "session_members": sessions.unprime(tables["session_members"], ids)})
         return n
 
+    def backfill(self, name: str) -> int:
+        """Give vectors to rows that have none, and edges to their neighbours; how many were made. ``name`` tells the embedder's
+        model: where it or its number of dimensions is another than at this device's last backfill, all are made anew."""
+        if self.embedder is None or not self.config.semantic:
+            return 0
+        tables, key = self.tables(), f"embedding:{self.config.author or self.config.device_id}"
+        signature = f"{name}:{len(self.embedder([''])[0])}"
+        row = tables["meta"].where(F.col("key") == key).first()
+        memories = tables["memories"]
+        if row is None or row.value != signature:
+            memories = memories.withColumn("embedding", F.lit(None).cast(memories.schema["embedding"].dataType))
+        n = memories.where("embedding is null").count()
+        if not n:
+            return 0
+        filled = cut_lineage(vectors.backfill(memories, self.embedder), "filled")
+        after = {"memories": filled}
+        if self.config.assoc:
+            live = filled.where("valid_to is null").select("id", "embedding")
+            near = vectors.semantic_edges(live, k=self.config.knn_k).select("src", "dst", F.lit("semantic").alias("kind"), "weight", F.current_timestamp().alias("updated_at"))
+            after["edges"] = graph.merge_edges(tables["edges"], near.select(*tables["edges"].columns), self.config)
+        meta = tables["meta"]
+        after["meta"] = meta.where(F.col("key") != key).unionByName(self.spark.createDataFrame([(key, signature)], meta.schema))
+        self.snapshots.write(after)
+        return n
+
+    def resolve_session(self, session: str | None = None, now=None) -> str:
+        """The session that a recall belongs to: the one named, which later calls inherit, or the last one unless more than
+        the gap has passed since, or a new one. Each process has its own."""
+        meta = self.tables()["meta"]
+        then, key = self.spark.range(1).select(F.unix_micros(self._now(now)).alias("t")).first().t, f"session:{self._process}"
+        row = meta.where(F.col("key") == key).first()
+        held = json.loads(row.value) if row else None
+        if session is None:
+            goes_on = held is not None and then - held["last"] <= self.config.session_gap_seconds * 1_000_000
+            session = held["session"] if goes_on else f"{then}:{self._process}"
+        fresh = self.spark.createDataFrame([(key, json.dumps({"session": session, "last": then}))], meta.schema)
+        self.snapshots.write({"meta": meta.where(F.col("key") != key).unionByName(fresh)})
+        return session
+
     def import_records(self, given: DataFrame, now=None) -> dict[str, int]:
         """Merge an export: unusable records are skipped, links follow the new ids, and those that lead nowhere are dropped."""
         good = cut_lineage(records.usable(given), "records")
@@ -214,8 +256,14 @@ class Engine:
         return index.index_text(index.boot_index(t["memories"], t["edges"] if self.config.assoc else None, self.config.boot_index_cap))
 
     def crystallization(self, fallback: bool = False) -> DataFrame:
+        """Candidates for principles; none where clusters are off. While the edges, rows and dismissals are the same, what
+        was found is given again."""
         t = self.tables()
-        return cluster.candidates(t["edges"], t["memories"], t["dismissed"], self.config, fallback)
+        signature = (fallback, *(t[n]._folder for n in ("edges", "memories", "dismissed")))
+        if self._offered is None or self._offered[0] != signature:
+            found = cluster.candidates(t["edges"], t["memories"], t["dismissed"], self.config, fallback)
+            self._offered = signature, cut_lineage(found, "candidates") if self.config.crystallize else found.limit(0)
+        return self._offered[1]
 
     def status(self) -> dict:
         t = self.tables()

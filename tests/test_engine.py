@@ -102,6 +102,35 @@ def test_two_writers_and_lost_lists(spark, engine, tmp_path):
         engine.tables()
 
 
+def test_backfill_by_model(spark, engine):
+    engine.embedder, embed = None, engine.embedder
+    engine.remember([{"type": "project", "title": t, "body": b} for t, b in (("a", "car"), ("b", "truck car"), ("c", "soup"))])
+    assert engine.backfill("m") == 0 and engine.tables()["edges"].isEmpty()
+    engine.embedder = embed
+    assert engine.backfill("m") == 3 and engine.backfill("m") == 0
+    assert {(r.src, r.dst) for r in engine.tables()["edges"].where("kind = 'semantic'").collect()} == {(1, 2)}
+    assert engine.backfill("another") == 3
+    engine.embedder = lambda texts: [[1.0, 0.0] for _ in texts]  # as many dimensions no longer
+    assert engine.backfill("another") == 3 and {len(r.embedding) for r in engine.tables()["memories"].collect()} == {2}
+
+
+def test_sessions_are_inherited_within_the_gap(spark, engine):
+    first = engine.resolve_session(now="2024-01-01 10:00:00")
+    assert engine.resolve_session(now="2024-01-01 10:30:00") == first  # just the gap
+    assert engine.resolve_session("mine", now="2024-01-01 10:31:00") == "mine"
+    assert engine.resolve_session(now="2024-01-01 10:40:00") == "mine"
+    assert engine.resolve_session(now="2024-01-01 11:10:01") not in (first, "mine")
+    assert Engine(spark, engine.snapshots.path, engine.config).resolve_session(now="2024-01-01 11:10:02") != engine.resolve_session(now="2024-01-01 11:10:02")
+
+
+def test_candidates_are_found_again_only_after_a_change(spark, engine):
+    engine.remember([{"type": "user", "title": f"t{i}", "body": "soup", "links": [i - 1] if i > 1 else []} for i in range(1, 4)])
+    found = engine.crystallization()
+    assert [(r.peak_src, r.peak_dst) for r in found.collect()] == [(1, 2)] and engine.crystallization() is found
+    engine.dismiss_cluster(2, 1)
+    assert engine.crystallization() is not found and engine.crystallization().isEmpty()
+
+
 def test_recall_with_tags_limit_and_budget(spark, engine):
     engine.remember([{"type": "user" if i % 2 else "project", "title": f"t{i}", "body": "soup" if i < 6 else "x", "tags": "k" if i % 3 == 0 else "", "links": [i - 1] if i > 1 else []} for i in range(1, 12)])
     q = spark.createDataFrame([(0, " ", ["k"], "user"), (1, "", [], None), (2, "soup", [], None)], "query_id long, text string, tags array<string>, type string")
