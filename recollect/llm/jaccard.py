@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import ID_BUCKETS, ship, stage, trimmed, without_ids
+from .staging import ID_BUCKETS, ship, stage, trimmed, unstage, without_ids
 
 WORDS, PERCENT = 5, 80
 #: Rows of a column up to which all its pairs are candidates at once.
@@ -391,7 +391,7 @@ def components(edges: DataFrame) -> DataFrame:
     roots; a round is one written table, and only counts come to the driver.
     """
     edges = stage(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    if edges.isEmpty():
+    if edges.isEmpty():  # an empty table, not worth deleting
         return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -404,7 +404,9 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(low, "b").select(F.col("m").alias("x"), F.col("a").alias("y"), F.col("b").alias("z"))
         small = small.select("x", F.explode(F.array("y", "z")).alias("b")).where("x <> b").select(F.col("x").alias("a"), "b").distinct()
         following = stage(small, "small-star")
-        if edges.count() == following.count() and edges.exceptAll(following).isEmpty():
+        done = edges.count() == following.count() and edges.exceptAll(following).isEmpty()
+        unstage(edges, large)
+        if done:
             return following.select(F.col("b").alias("node"), F.col("a").alias("root"))
         edges = following
 
@@ -433,8 +435,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if total + r["count"] > MOST_FREQUENT:
             break
         bar, total = r.grade, total + r["count"]
-    often = often.where((F.col("n") >= FREQUENT) & (F.col("grade") >= (F.lit(None) if bar is None else F.lit(bar)))).select("a", "n").toArrow()
-    grams, weight = (often.column(k).to_numpy() for k in (0, 1))
+    chosen = often.where((F.col("n") >= FREQUENT) & (F.col("grade") >= (F.lit(None) if bar is None else F.lit(bar)))).select("a", "n").toArrow()
+    grams, weight = (chosen.column(k).to_numpy() for k in (0, 1))
+    unstage(often)
     order = np.argsort(grams.view(np.uint64))
     held = spark.sparkContext.broadcast((grams.view(np.uint64)[order], weight[order]))
 
@@ -460,6 +463,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bucket = F.pmod(F.xxhash64("gram"), F.lit(ID_BUCKETS)).alias("bucket")
     perhaps = rare.withColumn("bucket", bucket).join(F.broadcast(large.select(bucket).distinct()), "bucket", "left_semi").drop("bucket")
     dense = stage(common.drop("often").unionByName(perhaps.join(large, "gram", "left_semi")).distinct(), "dense-columns")
+    unstage(columns)
 
     # the rows of candidates, whole
     hashed = lambda c: F.xxhash64(c)
@@ -492,6 +496,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ends = ends.otherwise(F.array(F.struct((F.col("x") > F.col("y")).cast("int").alias("side"), F.col("a").alias("class")), F.struct((F.col("x") < F.col("y")).cast("int").alias("side"), F.col("b").alias("class"))))
     sides = at.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), F.explode(ends).alias("e")).select("x", "y", "e.side", "e.class").distinct()
     edges = multiplied(sides, "links")
+    unstage(found, wanted, placed)
     if not dense.isEmpty():
         roots = components(edges)
         own = dense.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
@@ -508,13 +513,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         sides = meets(x, y).select(F.col("block").alias("x"), F.col("other").alias("y"), F.lit(0).alias("side"), "class")
         sides = sides.unionByName(meets(y, x).select(F.col("other").alias("x"), F.col("block").alias("y"), F.lit(1).alias("side"), "class"))
         edges = edges.unionByName(multiplied(sides, "cross-links"))
+        unstage(own, others, x, y)
+    unstage(dense, matrix)
     roots = components(edges)
 
     # components of documents, for classes that have a link or a copy
     named = reps.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     named = stage(named.select("class", "doc_id", "n_docs", "root"), "class-roots")
+    unstage(reps)
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n_classes"), F.max("n_docs").alias("most")).where("n_classes > 1 or most > 1")
     ids = stage(named.join(least.select("root", "component_id"), "root").select("class", "component_id"), "component-ids")
+    unstage(named)
     return rows.join(ids, "class", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "class")
 
 

@@ -50,9 +50,10 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def unstage(df: DataFrame) -> None:
-    """Delete a staged table that no later plan reads."""
-    drop_path(df.sparkSession, df._staged_path)
+def unstage(*tables: DataFrame) -> None:
+    """Delete staged tables that no later plan reads; what was made from them is written."""
+    for df in tables:
+        drop_path(df.sparkSession, df._staged_path)
 
 
 def trimmed(run):
