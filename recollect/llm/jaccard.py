@@ -296,7 +296,7 @@ def _shares(u: list[np.ndarray], cols: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return at[order], of[order], np.bincount(at[order], minlength=len(cols))
 
 
-def product(u: list[np.ndarray], v: list[np.ndarray], at_once: int = 1 << 21) -> np.ndarray:
+def product(u: list[np.ndarray], v: list[np.ndarray], at_once: int = 1 << 19) -> np.ndarray:
     """Overlap counts of the rows of two blocks, accumulated over blocks of columns.
 
     Columns that many rows of both have are multiplied as dense blocks, the others entry by entry.

@@ -17,7 +17,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import accumulate
 
 import numpy as np
@@ -30,7 +30,7 @@ from .staging import ship, stage, trimmed
 
 WINDOW, END_ID = 2048, 1
 #: Entries of each of the two generations of a worker's cache of pieces' ids, and the longest piece that is kept.
-CACHE_PIECES, CACHE_LENGTH = 100_000, 48
+CACHE_PIECES, CACHE_LENGTH = 65_536, 48
 #: Characters of a text that are handled at once, and documents that are passed on at once.
 SLICE, ROWS = 1 << 18, 256
 
@@ -119,17 +119,23 @@ class TextIds:
     is the library's default, as those tokens."""
 
     def __init__(self, data: bytes, ranks: dict[bytes, int] | None, literal: bool = False):
+        self.data, self.literal = data, literal
+        self.pieces = None if ranks is None else Pieces(ranks)
+        special = [t["content"] for t in json.loads(data).get("added_tokens", ())]
+        self.special = [] if literal else special
+        self.cuttable = self.pieces is not None and not any(_CUT.search(t) for t in special)
+
+    @cached_property
+    def tokenizer(self):
+        """The library's tokenizer, made when the first text needs it."""
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_buffer(data)
-        self.tokenizer.encode_special_tokens = literal
-        self.pieces = None if ranks is None else Pieces(ranks)
-        special = [t["content"] for t in json.loads(data).get("added_tokens", ())]
-        self.special = [] if literal else special
-        self.cuttable = self.pieces is not None and not any(_CUT.search(t) for t in special)
+        made = Tokenizer.from_buffer(self.data)
+        made.encode_special_tokens = self.literal
+        return made
 
     def library(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
