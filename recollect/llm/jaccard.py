@@ -3,7 +3,8 @@
 The document by n-gram incidence matrix is multiplied with its transpose in blocks, and only where a product can
 reach its bound. By sizes alone, linked sets of sizes a and b share at least 80 % of either; so they share k of the
 first ``a - ceil(0.8 a) + k`` n-grams of each, in any order common to all sets. Columns of these prefixes, rare n-grams
-first (those that many sets of a task hold are found by local counts and put last), tell which rows can be linked:
+first (those that many sets of a task hold are found by local counts and put last; beyond a bounded list of the most
+frequent, a bounded table by buckets of n-grams orders the others), tell which rows can be linked:
 pairs whose sizes rule a link out are discarded at once, and pairs that share fewer columns than the sizes ask for
 after that.
 
@@ -39,6 +40,8 @@ WORDS, PERCENT = 5, 80
 COLUMN = 32
 #: A column counts as frequent from this sum of local counts (each of LOCAL at least), or from the least sum that so many have.
 FREQUENT, LOCAL, MOST_FREQUENT = 2, 2, 1_000_000
+#: Buckets of the table that orders frequent n-grams below that bar: powers of two, the least and the most.
+LEAST_BITS, MOST_BITS = 10, 25
 #: Columns of n-grams with such a sum are not shuffled by column; a set meets the first row of so many of them.
 HOT, STARS = 64, 24
 #: N-grams that a task counts together, bytes that it hashes together, classes that it remembers as sent.
@@ -189,9 +192,12 @@ def _survey(batches: Iterator[pa.RecordBatch], local: int) -> Iterator[pa.Record
         yield from frequent()
 
 
-def _prefixes(frequent: np.ndarray, weight: np.ndarray, hot: int):
+def _prefixes(frequent: np.ndarray, weight: np.ndarray, grades: np.ndarray, hot: int):
     """Emits (gram, class, size, often) of the prefix of every set that the task has not sent yet.
 
+    N-grams that are not in the list of frequent ones come by the grades of their buckets, where there are any; the order
+    depends on the n-gram alone, so it is common to all sets.
+
     often: 1 for the first STARS of the hot n-grams, 2 for their others, 0 for all else.
     """
 
@@ -209,6 +215,8 @@ def _prefixes(frequent: np.ndarray, weight: np.ndarray, hot: int):
                     at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
                     hit = frequent[at] == s
                     rare, rest = s[~hit], at[hit]
+                if len(grades):
+                    rare = rare[np.argsort(grades[rare & np.uint64(len(grades) - 1)], kind="stable")]
                 rare = rare[:n]
                 rest = rest[np.argsort(weight[rest], kind="stable")][: n - len(rare)]
                 grams += [rare, frequent[rest]]
@@ -224,6 +232,22 @@ def _prefixes(frequent: np.ndarray, weight: np.ndarray, hot: int):
     return run
 
 
+def _grades(below: DataFrame) -> np.ndarray:
+    """A table of buckets of n-grams (a, n): eight times the logarithm of a bucket's sum of counts, 0 where there is none.
+
+    It has eight buckets an n-gram and 2 ** MOST_BITS at most, so only so many rows of five bytes come to the driver.
+    """
+    total = below.count()
+    if not total:
+        return np.empty(0, np.uint8)
+    table = np.zeros(1 << min(MOST_BITS, max(LEAST_BITS, (8 * total).bit_length())), np.uint8)
+    bucket = F.col("a").bitwiseAND(F.lit(len(table) - 1)).cast("int").alias("bucket")
+    # graded from -128, as a byte
+    rows = below.groupBy(bucket).agg((F.least(F.floor(F.log2(F.sum("n")) * 8) + 1, F.lit(255)) - 128).cast("byte").alias("grade")).toArrow()
+    table[rows.column(0).to_numpy()] = (rows.column(1).to_numpy().astype(np.int16) + 128).astype(np.uint8)
+    return table
+
+
 def _candidates(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
     """From rows sorted by column: (a, b, n, need), the columns that a pair shares here and how many it must share in all.
 
@@ -430,16 +454,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # frequent n-grams, the most frequent last in every set's order; grades of counts give a bar that bounds their number
     often = stage(survey.where("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).withColumn("grade", F.floor(F.log2("n") * 64)), "local-counts")
-    bar, total = None, 0
+    bar, total, below = None, 0, F.lit(False)
     for r in sorted(often.where(F.col("n") >= FREQUENT).groupBy("grade").count().collect(), reverse=True):
         if total + r["count"] > MOST_FREQUENT:
+            below = F.col("grade") <= r.grade
             break
         bar, total = r.grade, total + r["count"]
     chosen = often.where((F.col("n") >= FREQUENT) & (F.col("grade") >= (F.lit(None) if bar is None else F.lit(bar)))).select("a", "n").toArrow()
     grams, weight = (chosen.column(k).to_numpy() for k in (0, 1))
+    grades = _grades(often.where((F.col("n") >= FREQUENT) & below))
     unstage(often)
     order = np.argsort(grams.view(np.uint64))
-    held = spark.sparkContext.broadcast((grams.view(np.uint64)[order], weight[order]))
+    held = spark.sparkContext.broadcast((grams.view(np.uint64)[order], weight[order], grades))
 
     def prefixes(batches):
         yield from _prefixes(*held.value, hot)(batches)

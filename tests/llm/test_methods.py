@@ -733,3 +733,24 @@ def test_pipeline_on_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert c.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_duplicates_order_frequent_ngrams_beyond_the_list(spark, monkeypatch):
+    """Of more frequent n-grams than the list holds none comes before a rare one, so texts that share only these are not compared."""
+    draw = random.Random(11)
+    boiler = " ".join(f"shared{k}" for k in range(24))
+    texts = [boiler + " " + " ".join(f"w{draw.getrandbits(40)}" for _ in range(100)) for _ in range(60)]
+    texts += [texts[7] + " end", texts[8] + " end"]
+    sizes = {}
+
+    def staged(df, name):
+        sizes[name] = (back := stage(df, name)).count()
+        return back
+
+    stage = jaccard.stage
+    monkeypatch.setattr(jaccard, "stage", staged)
+    monkeypatch.setattr(jaccard, "MOST_FREQUENT", 2)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(rows).collect()}
+    assert got == {k: {60: 7, 61: 8}.get(k, k) for k in range(62)}
+    assert sizes["dense-columns"] == 0 and sizes["rows"] == 4
