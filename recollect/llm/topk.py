@@ -4,9 +4,9 @@ Vectors are sorted by descending length and cut into blocks. An orthogonal rotat
 rows, moves most of a vector's weight to its first coordinates. A block of queries goes through a block of candidates
 in slabs, longest first: by Cauchy and Schwarz, a query is done with the block once its length times the slab's
 greatest length is below its k-th best score, and a candidate is dropped when the sum over the first coordinates
-plus the product of the two residual lengths is. What is left is scored exactly on the integers. Blocks of queries
-meet blocks of candidates by an equi-join on the block's number, one pair at a time in a task; only the best k of each
-pair go on.
+plus the product of the two residual lengths is. What is left is scored exactly on the integers. Every block of
+queries meets every block of candidates where files of both are read, one pair at a time in a task: nothing is
+broadcast, copied to a shuffle or listed on the driver. Only the best k of each pair go on.
 """
 
 from __future__ import annotations
@@ -155,7 +155,10 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
     if not dim or dim < 0:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long") if dim is None else _zero_dim(whole, k, every)
     turn = rotation(whole, dim)
-    longest = whole.orderBy(F.desc("norm2"), "vec_id").limit(SEEDS).collect()
+    # keys first: a task offers SEEDS rows, and whole vectors of all tasks are too much for the driver
+    keys = whole.select("norm2", "vec_id").orderBy(F.desc("norm2"), "vec_id").limit(SEEDS).collect()
+    last = keys[-1]
+    longest = whole.where((F.col("norm2") > last.norm2) | ((F.col("norm2") == last.norm2) & (F.col("vec_id") <= last.vec_id))).collect()
     s_raw = np.zeros((len(longest), dim))
     for r, row in enumerate(longest):
         s_raw[r, : len(row.v)] = row.v
@@ -165,10 +168,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
     candidates = stage(_blocks(whole.repartitionByRange(F.desc("norm2"), "vec_id").sortWithinPartitions(F.desc("norm2"), "vec_id"), dim, CANDIDATES, None).drop("bounds"), "candidate-blocks")
     asked = whole.where(F.col("vec_id") % every == 0)
     asked = stage(_blocks(asked.repartitionByRange("vec_id").sortWithinPartitions("vec_id"), dim, QUERIES, seeds), "query-blocks")
-    numbers = F.array(*(F.lit(r.block) for r in candidates.select("block").collect()))  # one number per block of candidates
-    pairs = candidates.select("block", *(F.col(c).alias(f"c_{c}") for c in ("ids", "raw"))).join(
-        asked.select(F.col("block").alias("q_block"), *(F.col(c).alias(f"q_{c}") for c in ("ids", "raw", "bounds"))).withColumn("block", F.explode(numbers)), "block"
-    )
+    # this hint keeps the planner, which knows the compressed sizes only, from a broadcast of either side
+    pairs = candidates.select(*(F.col(c).alias(f"c_{c}") for c in ("ids", "raw"))).hint("shuffle_replicate_nl").crossJoin(asked.select(*(F.col(c).alias(f"q_{c}") for c in ("ids", "raw", "bounds"))))
 
     def search(batches):
         turned = held.value

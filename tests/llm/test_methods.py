@@ -754,3 +754,21 @@ def test_near_duplicates_order_frequent_ngrams_beyond_the_list(spark, monkeypatc
     got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(rows).collect()}
     assert got == {k: {60: 7, 61: 8}.get(k, k) for k in range(62)}
     assert sizes["dense-columns"] == 0 and sizes["rows"] == 4
+
+
+def test_top_k_neither_broadcasts_blocks_nor_collects_vectors_of_every_task(spark, monkeypatch):
+    draw = np.random.default_rng(4)
+    d = spark.createDataFrame([(k, draw.normal(size=6).tolist()) for k in range(300)], "vec_id long, embedding array<double>").repartition(4)
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    plans, collect = [], DataFrame.collect
+
+    def recorded(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return collect(df)
+
+    monkeypatch.setattr(DataFrame, "collect", recorded)
+    found = topk.top_k(d)
+    assert not any("GlobalLimit" in p and "v#" in p.split("\n")[0] + p.split("Sort")[1].split("\n")[1] for p in plans)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Broadcast" not in plan
