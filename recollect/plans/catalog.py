@@ -200,7 +200,9 @@ def restore_guard(spark, sf):
 def purge_antijoin(spark, sf):
     m = A.memories(spark, sf)
     members = A.touches(spark, sf).select("session_id", "memory_id", F.lit(1.0).alias("activation"), A.at(EPOCH).alias("updated_at"))
-    left = store.purge({"memories": m, "edges": A.graph_edges(spark, sf), "session_members": members}, m.where("id % 11 = 0").select("id"))
+    edges = A.graph_edges(spark, sf)
+    named = m.select("id").unionByName(edges.select(F.explode(F.array("src", "dst")).alias("id"))).where("id % 11 = 0")  # edges reach beyond the rows
+    left = store.purge({"memories": m, "edges": edges, "session_members": members}, named)
     count = lambda t, n: left[t].agg(big(F.count(F.lit(1))).alias(n))
     return count("memories", "n_memories").join(F.broadcast(count("edges", "n_edges"))).join(F.broadcast(count("session_members", "n_members")))
 

@@ -381,3 +381,12 @@ def test_recall_queries_have_the_default_budget(spark, sf, monkeypatch):
     for name in ("recall_associative", "via_receipts"):
         QUERIES[name](spark, sf)
     assert used == [EngineConfig().recall_budget] * 2
+
+
+def test_purge_removes_edges_of_ids_without_a_row(spark):
+    members = spark.createDataFrame([("s", 1), ("s", 2), ("s", 11)], "session_id string, memory_id long")
+    tables = {"memories": mem(spark, [{"id": 1}, {"id": 2}]), "edges": edge(spark, [(1, 2, "explicit", 1), (2, 11, "hebbian", 1), (11, 12, "hebbian", 1), (2, 3, "hebbian", 1)]), "session_members": members}
+    left = store.purge(tables, spark.createDataFrame([(1,), (11,)], "id long"))
+    assert [r.id for r in left["memories"].collect()] == [2]
+    assert [(r.src, r.dst) for r in left["edges"].collect()] == [(2, 3)]
+    assert sorted(r.memory_id for r in left["session_members"].collect()) == [2, 11]
