@@ -18,6 +18,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.introspect import opt_func_info
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -176,6 +177,12 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
+@lru_cache(maxsize=1)
+def wide_tanh() -> bool:
+    """Whether numpy takes hyperbolic tangents in 512-bit vectors here; elsewhere they cost twice an exponential and more."""
+    return any("AVX512" in own["current"] for found in opt_func_info("^tanh$", "float32").values() for own in found.values())
+
+
 class Tagger:
     """Bidirectional LSTM over characters with a linear-chain CRF. Batches are (time, rows) with a mask."""
 
@@ -294,72 +301,99 @@ class Tagger:
                     self.p[name] = (self.p[name] - pace * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
         return self
 
-    def _lean(self) -> dict[str, np.ndarray]:
-        """Weights for decoding: columns are windows, sigmoids are halves of hyperbolic tangents, and states are twice
-        as large, so that one array of gates needs one pass; tags are scored against staying outside."""
-        if "_held" not in self.__dict__:
-            p, held = self.p, {"E": np.ascontiguousarray(self.p["E"].T)}
-            half = np.concatenate((np.full(3 * HIDDEN, 0.5), np.ones(HIDDEN))).astype(np.float32)
-            against = p["O"][:, 1:] - p["O"][:, :1]
+    def _lean(self, wide: bool) -> dict[str, np.ndarray]:
+        """Weights for decoding, where columns are windows and tags are scored against staying outside. Wide: sigmoids
+        are halves of hyperbolic tangents, and states are twice as large, so that one array of gates needs one pass.
+        Otherwise gates are scaled for one array of exponentials."""
+        held = self.__dict__.setdefault("_held", {})
+        if wide not in held:
+            p, own = self.p, {"E": np.ascontiguousarray(self.p["E"].T)}
+            scale = np.repeat(np.array([0.5, 0.5, 0.5, 1] if wide else [-1, -1, -1, -2], np.float32), HIDDEN)
+            state = np.float32(0.5 if wide else 1)
+            against, offset = p["O"][:, 1:] - p["O"][:, :1], p["o"][1:] - p["o"][0]
             for k, side in enumerate("fb"):
-                w = np.concatenate((0.5 * p[f"H{side}"], p[f"X{side}"], p[f"c{side}"][None])) * half
-                held |= {f"W{side}": np.ascontiguousarray(w.T), f"O{side}": np.ascontiguousarray(0.5 * against[k * HIDDEN : (k + 1) * HIDDEN].T)}
-            held["o"] = (p["o"][1:] - p["o"][0])[:, None]
-            self._held = held
-        return self._held
-
-    def _pass(self, x: np.ndarray, side: str) -> np.ndarray:
-        """(time, tag, window): what one direction gives for the tags, over windows (time, window) in its own order."""
-        held, n = self._lean(), x.shape[1]
+                w = np.concatenate((state * p[f"H{side}"], p[f"c{side}"][None], p[f"X{side}"])) * scale
+                o = np.concatenate((state * against[k * HIDDEN : (k + 1) * HIDDEN], offset[None] * (side == "f")))
+                own |= {f"W{side}": np.ascontiguousarray(w.T), f"O{side}": np.ascontiguousarray(o.T)}
+            held[wide] = own
+        return held[wide]
+
+    def _pass(self, x: np.ndarray, live: list[int], side: str, out: np.ndarray, wide: bool) -> None:
+        """Give or add what one direction gives for the tags to out (time, tag, window), over codes (time, window) of
+        which the first so many of each time are there."""
+        held, n = self._lean(wide), x.shape[1]
         w, table, o = held[f"W{side}"], held["E"], held[f"O{side}"]
-        state = np.zeros((HIDDEN + EMBED + 1, n), np.float32)
-        state[-1] = 1
-        h, e = state[:HIDDEN], state[HIDDEN:-1]
-        a, c, tc = np.empty((4 * HIDDEN, n), np.float32), np.zeros((HIDDEN, n), np.float32), np.empty((HIDDEN, n), np.float32)
-        inside, forget, output, fresh = (a[k * HIDDEN : (k + 1) * HIDDEN] for k in range(4))
-        gates = a[: 3 * HIDDEN]
-        out = np.empty((len(x), TAGS - 1, n), np.float32)
-        for t in range(len(x)):
-            np.take(table, x[t], axis=1, out=e, mode="clip")
+        states = np.zeros((HIDDEN + 1 + EMBED, n), np.float32)
+        states[HIDDEN] = 1
+        gates, cells, others, scored = np.empty((4 * HIDDEN, n), np.float32), np.zeros((HIDDEN, n), np.float32), np.empty((HIDDEN, n), np.float32), np.empty((TAGS - 1, n), np.float32)
+        m = -1
+        for t in range(len(x)) if side == "f" else range(len(x) - 1, -1, -1):
+            if live[t] != m:
+                m = live[t]
+                state, a, c, v, s = states[:, :m], gates[:, :m], cells[:, :m], others[:, :m], scored[:, :m]
+                h, seen, e = state[:HIDDEN], state[: HIDDEN + 1], state[HIDDEN + 1 :]
+                inside, forget, output, fresh = (a[k * HIDDEN : (k + 1) * HIDDEN] for k in range(4))
+                sigmoids = a[: 3 * HIDDEN]
+            np.take(table, x[t, :m], axis=1, out=e, mode="clip")
             np.matmul(w, state, out=a)
-            np.tanh(a, out=a)
-            gates += 1
-            c *= forget
-            inside *= fresh
-            c += inside
-            c *= 0.5
-            np.tanh(c, out=tc)
-            np.multiply(output, tc, out=h)
-            np.matmul(o, h, out=out[t])
-        return out
+            if wide:
+                np.tanh(a, out=a)
+                sigmoids += 1
+                c *= forget
+                inside *= fresh
+                c += inside
+                c *= 0.5
+                np.tanh(c, out=v)
+                np.multiply(output, v, out=h)
+            else:  # c is -2 times the cell; an exponential that overflows ends in the right limit
+                np.exp(a, out=a)
+                a += 1
+                np.divide(4, fresh, out=v)
+                np.subtract(2, v, out=v)
+                v /= inside
+                c /= forget
+                c += v
+                np.exp(c, out=v)
+                v += 1
+                np.divide(2, v, out=v)
+                v -= 1
+                np.divide(v, output, out=h)
+            if side == "f":
+                np.matmul(o, seen, out=out[t, :, :m])
+            else:
+                np.matmul(o, seen, out=s)
+                out[t, :, :m] += s
 
-    def scores(self, rows: list[np.ndarray]) -> np.ndarray:
-        """(time, tag, window): scores of the tags but the first against it, for windows of codes, in one batch."""
-        sizes = np.array([len(r) for r in rows])
+    def scores(self, rows: list[np.ndarray], wide: bool | None = None) -> np.ndarray:
+        """(time, tag, window): scores of the tags but the first against it, for windows of codes, longest first, in one
+        batch. Each direction steps only through what a window has; behind its end all tags are out of reach."""
+        sizes = np.array([len(r) for r in rows], np.int64)
         steps = int(sizes.max(initial=0))
-        x, back = np.zeros((2, len(rows), steps), np.intp)
+        x = np.zeros((len(rows), steps), np.intp)
         for r, own in enumerate(rows):
             x[r, : len(own)] = own
-            back[r, : len(own)] = own[::-1]
-        out, other = self._pass(np.ascontiguousarray(x.T), "f"), self._pass(np.ascontiguousarray(back.T), "b")
-        if (sizes == steps).all():
-            out += other[::-1]
-        else:
-            at = np.maximum(sizes[None, :] - 1 - np.arange(steps)[:, None], 0)
-            out += np.take_along_axis(other, at[:, None, :], 0)
-        out += self._lean()["o"]
-        out[np.broadcast_to((np.arange(steps)[:, None] >= sizes[None, :])[:, None, :], out.shape)] = -1e4
+        x = np.ascontiguousarray(x.T)
+        live = np.searchsorted(-sizes, -np.arange(steps), "left").tolist()
+        out = np.empty((steps, TAGS - 1, len(rows)), np.float32)
+        for t in range(int(sizes.min(initial=steps)), steps):
+            out[t, :, live[t] :] = -1e4
+        wide = wide_tanh() if wide is None else wide
+        with np.errstate(over="ignore"):
+            for side in "fb":
+                self._pass(x, live, side, out, wide)
         return out
 
     def decode(self, rows: list[np.ndarray]) -> list[list[tuple[int, int, float, str]]]:
         """Best tag sequence of each window, as spans (start, end, margin over staying outside, kind)."""
-        scores = self.scores(rows)
+        order = sorted(range(len(rows)), key=lambda r: -len(rows[r]))
+        scores = self.scores([rows[r] for r in order])
         trans = self.p["T"] + self.barred
         out: list[list[tuple[int, int, float, str]]] = [[] for _ in rows]
         open_ = np.flatnonzero(self._can_gain(scores, trans)) if len(scores) else np.empty(0, int)
         for k in range(0, len(open_), 256):
             some = open_[k : k + 256]
-            for r, spans in zip(some.tolist(), self._search(scores[:, :, some], [len(rows[r]) for r in some], trans), strict=True):
+            own = [order[r] for r in some.tolist()]
+            for r, spans in zip(own, self._search(scores[:, :, some], [len(rows[r]) for r in own], trans), strict=True):
                 out[r] = spans
         return out
 
@@ -389,19 +423,21 @@ class Tagger:
 
     def _search(self, against: np.ndarray, sizes: list[int], trans: np.ndarray) -> list[list[tuple[int, int, float, str]]]:
         steps, _, n = against.shape
-        scores = np.concatenate((np.zeros((steps, n, 1), np.float32), against.transpose(0, 2, 1)), 2)
+        scores = np.concatenate((np.zeros((steps, 1, n), np.float32), against), 1)
         start = np.array([0.0 if j == 0 or j % 2 else -1e4 for j in range(TAGS)], np.float32)
-        best = scores[0] + start
-        came = np.zeros((steps, n, TAGS), np.int8)
+        best = np.empty((steps, TAGS, n), np.float32)
+        best[0] = scores[0] + start[:, None]
+        options, across = np.empty((TAGS, TAGS, n), np.float32), np.ascontiguousarray(trans)[:, :, None]
         for t in range(1, steps):
-            options = best[:, None, :] + trans.T
-            came[t] = options.argmax(2)
-            best = options.max(2) + scores[t]  # behind a window's end all but the first tag are out of reach
-        tag = best.argmax(1)
-        path = np.zeros((steps, n), np.int64)
-        for t in range(steps - 1, -1, -1):
-            path[t] = tag
-            tag = came[t][np.arange(n), tag]
+            np.add(best[t - 1][:, None], across, out=options)
+            np.maximum.reduce(options, 0, out=best[t])
+            best[t] += scores[t]  # behind a window's end all but the first tag are out of reach
+        tag = best[-1].argmax(0)
+        path = np.empty((steps, n), np.int64)
+        path[-1] = tag
+        for t in range(steps - 1, 0, -1):  # where a tag came from is found again, for those on the path only
+            tag = (best[t - 1] + trans[:, tag]).argmax(0)
+            path[t - 1] = tag
         out: list[list[tuple[int, int, float, str]]] = []
         for r, size in enumerate(sizes):
             tags, spans, k = path[:size, r], [], 0
@@ -409,7 +445,7 @@ class Tagger:
                 end = k + 1
                 while end < size and tags[end] == tags[k] + 1:
                     end += 1
-                spans.append((k, end, float(scores[range(k, end), r, tags[k:end]].mean()), KINDS[tags[k] // 2]))
+                spans.append((k, end, float(scores[range(k, end), tags[k:end], r].mean()), KINDS[tags[k] // 2]))
             out.append(spans)
         return out
 

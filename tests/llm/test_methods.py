@@ -178,6 +178,34 @@ def test_decoding_is_exact():
         assert all(abs(x[2] - y[2]) < 1e-3 for x, y in zip(got, want, strict=True))
 
 
+def test_scores_cost_no_tangent_without_wide_vectors_and_no_step_behind_an_end(monkeypatch):
+    """Both ways to take the gates give the training's emissions; the one for narrow vectors needs exponentials alone,
+    and no character is looked up but those that the windows have, once a direction."""
+    tagger = pii.trained()
+    texts = [t for t, _ in pii.labelled_sentences(60, 9)] + ["x", "1", "+1 (415) 555-0100", "é" * 30, "a plain line " * 34]
+    rows = sorted((pii.codes(t) for t in texts if t), key=len, reverse=True)
+    want = []
+    for own in rows:
+        scores = tagger.emissions(*pii.batch_of([own]))[0][:, 0]
+        want.append(scores[:, 1:] - scores[:, :1])
+    slow = slow_decode(tagger, rows)
+    looked_up, take, tanh = [], np.take, np.tanh
+    monkeypatch.setattr(np, "take", lambda table, x, **how: (looked_up.append(x.size), take(table, x, **how))[1])
+    for wide in (True, False):
+        monkeypatch.setattr(pii, "wide_tanh", lambda wide=wide: wide)
+        monkeypatch.setattr(np, "tanh", tanh if wide else None)
+        looked_up.clear()
+        got = tagger.scores(rows)
+        assert sum(looked_up) == 2 * sum(map(len, rows))
+        for r, own in enumerate(want):
+            assert np.abs(got[: len(own), :, r] - own).max() < 1e-3 and (got[len(own) :, :, r] == -1e4).all()
+        turned = tagger.decode(rows[::-1])[::-1]
+        assert [[(a, b, k) for a, b, _, k in x] for x in turned] == [[(a, b, k) for a, b, _, k in x] for x in slow]
+    wild = pii.Tagger()
+    wild.p = {k: v * 40 for k, v in wild.p.items()}  # gates far beyond what an exponential can hold
+    assert np.isfinite(wild.scores(rows, wide=False)).all() and not wild.scores([]).size
+
+
 def test_every_window_is_decoded():
     """Whatever it holds, every character of a text is shown to the tagger, and windows overlap."""
     shown = []
